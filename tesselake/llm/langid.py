@@ -156,13 +156,19 @@ def _parser(key: str, samples) -> CrossParser:
     return _PARSERS[key]
 
 
-def identify(docs: DataFrame, samples: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every text. One narrow pass, no shuffle."""
+def _shared(docs: DataFrame, samples: dict[str, list[str]]):
+    """Gives each worker its own automata: only the words of the samples (bounded) are sent."""
     key = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
-    shared = docs.sparkSession.sparkContext.broadcast(samples)
+    words = docs.sparkSession.sparkContext.broadcast(samples)
+    return lambda: _parser(key, words.value)
+
+
+def identify(docs: DataFrame, samples: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every text; one narrow pass, no shuffle."""
+    shared = _shared(docs, samples)
 
     def predict(batches):
-        parser = _parser(key, shared.value)
+        parser = shared()
         for batch in batches:
             found = [parser.predict(t) for t in batch.column("text").to_pylist()]
             langs, scores = pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())
@@ -170,3 +176,15 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], id_col: str = "doc_
 
     some = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     return some.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, samples: dict[str, list[str]], text_col: str = "text") -> DataFrame:
+    """The documents in a language that was learned, with all their columns."""
+    shared = _shared(docs, samples)
+
+    def keep(batches):
+        parser = shared()
+        for batch in batches:
+            yield batch.filter(pa.array([parser.predict(t)[0] != UNDETERMINED for t in batch.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -13,6 +13,13 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_neighbours(spark, sf_dir):
+    from tesselake.llm import neighbours
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op2_toxicity(spark, sf_dir):
     from tesselake.llm import toxicity
 
@@ -20,6 +27,21 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(docs, toxicity.train(*toxicity.training_sample(docs, table(spark, sf_dir, "labels"))))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tesselake.llm import substring
+
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(substring.kept_words(), 256).alias("kept_sha256"))
+
+
+def op4_decontamination(spark, sf_dir):
+    from tesselake.llm import decontaminate
+
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark, sf_dir):
     from tesselake.llm import tokens
 
@@ -40,6 +62,18 @@ def op7_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), store=f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}")
 
 
+def op8_main_text(spark, sf_dir):
+    from tesselake.llm import html
+
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_near_duplicates(spark, sf_dir):
+    from tesselake.llm import neardup
+
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark, sf_dir):
     from tesselake.llm import langid
 
@@ -47,6 +81,6 @@ def op10_language(spark, sf_dir):
     return langid.identify(docs, langid.training_sample(docs))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op5_token_counts, op6_byte_bpe, op7_sharding, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_neighbours, op2_toxicity, op3_substring_dedup, op4_decontamination, op5_token_counts, op6_byte_bpe, op7_sharding, op8_main_text, op9_near_duplicates, op10_language)}
 #: DuckDB's SQL has neither these hashes nor iterative models; the queries are tested against brute force instead.
 ORACLE_SQL: dict[str, str] = {}
