@@ -36,6 +36,11 @@ class Flags:
         return self.init | self.stale | self.offline | self.nosync | self.extension
 
 
-COMPONENTS = T.StructType.fromDDL("file_id long, comp_ord int, mirror_id int, flags long, ext_start long, ext_end long, pattern int, stripe_count int, pool string, has_objects boolean")
-OBJECTS = T.StructType.fromDDL("file_id long, comp_ord int, mirror_id int, stripe_idx int, ost int")
-FILES = T.StructType.fromDDL("file_id long, path string, file_size long, st_dev long, st_ino long, st_nlink int, flr_state int, recorded_goal int, mode string, target_opt int")
+def _struct(text: str) -> T.StructType:
+    kinds = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType()}
+    return T.StructType([T.StructField(n, kinds[k]) for n, k in (x.split() for x in text.split(", "))])
+
+
+COMPONENTS = _struct("file_id long, comp_ord int, mirror_id int, flags long, ext_start long, ext_end long, pattern int, stripe_count int, pool string, has_objects boolean")
+OBJECTS = _struct("file_id long, comp_ord int, mirror_id int, stripe_idx int, ost int")
+FILES = _struct("file_id long, path string, file_size long, st_dev long, st_ino long, st_nlink int, flr_state int, recorded_goal int, mode string, target_opt int")
