@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tesselake.llm.common import WordIds, flat_words, gram_hashes, gram_places
 
 #: Text bytes of a bucket and n-grams of an index group: what one task holds at a time.
-BUCKET_BYTES, GROUP_GRAMS = 4 << 20, 1 << 21
+BUCKET_BYTES, GROUP_GRAMS = 6 << 20, 1 << 21
 #: Quantiles of the ids that the buckets follow; between two of them ids are cut evenly.
 QUANTILES = 512
 
@@ -62,6 +62,9 @@ def plan(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, group_grams: int = G
 class Bucket:
     """The words and n-grams of one bucket's documents, in the order of their ids; null ids come last."""
 
+    #: Trailing bits of a hash that the index leaves out.
+    spare = 0
+
     def __init__(self, table: pa.Table, n: int, lower: bool = False):
         self.table = table.sort_by([("doc_id", "ascending")])
         self.ids = WordIds()
@@ -76,7 +79,7 @@ class Bucket:
         self.places = np.flatnonzero(gram_places(self.starts, self.n, len(self.words)))
         named = int(np.count_nonzero(np.asarray(self.table.column("doc_id").is_valid())))
         self.places = self.places[self.places < self.starts[named]]  # documents without an id take no part
-        self.hashes = all_grams[self.places]
+        self.hashes = all_grams[self.places] >> np.uint64(self.spare) << np.uint64(self.spare)
         self.doc = np.searchsorted(self.starts, self.places, side="right") - 1
 
     def distinct(self) -> None:
@@ -104,19 +107,21 @@ def group_starts(values: np.ndarray, groups: int) -> np.ndarray:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Sorted 64-bit values as a first value and differences of as many bytes as the largest needs."""
-    steps = np.diff(values)
+    """Sorted 64-bit values as a first value and differences of as many bytes as the largest needs; common zero bytes at their ends are left out."""
+    all_bits = int(np.bitwise_or.reduce(values)) if len(values) else 0
+    shift = 16 if all_bits and all_bits & 0xFFFF == 0 else 0
+    steps = np.diff(values) >> np.uint64(shift)
     width = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 1
-    return bytes([width]) + values[:1].tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return bytes([width, shift]) + values[:1].tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def unpack(blob: bytes) -> np.ndarray:
     width = blob[0]
-    first = np.frombuffer(blob, np.uint64, 1, 1)
-    raw = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
+    first = np.frombuffer(blob, np.uint64, 1, 2)
+    raw = np.frombuffer(blob, np.uint8, offset=10).reshape(-1, width)
     steps = np.zeros((len(raw), 8), np.uint8)
     steps[:, :width] = raw
-    return np.concatenate([first, first[0] + np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)])
+    return np.concatenate([first, first[0] + np.cumsum(steps.view(np.uint64).ravel() << np.uint64(blob[1]), dtype=np.uint64)])
 
 
 BLOBS = "r int, b int, grams binary, docs binary"

@@ -40,7 +40,12 @@ STANDINS = 8
 
 
 class Shingles(grams.Bucket):
-    """Shingles of a bucket; a shorter text is one shingle of all its words."""
+    """Shingles of a bucket; a shorter text is one shingle of all its words.
+
+    48 bits tell shingles apart: two that agree by chance move a count or a similarity by next to nothing.
+    """
+
+    spare = 16
 
     def _grams(self) -> None:
         super()._grams()
@@ -49,7 +54,7 @@ class Shingles(grams.Bucket):
         short = np.flatnonzero((sizes > 0) & (sizes < self.n) & named)
         if len(short):
             word_hashes = np.array(self.ids.hashes, np.uint64)
-            extra = np.array([xxhash.xxh3_64_intdigest(word_hashes[self.words[self.starts[d] : self.starts[d + 1]]].tobytes(), 5) for d in short], np.uint64)
+            extra = np.array([xxhash.xxh3_64_intdigest(word_hashes[self.words[self.starts[d] : self.starts[d + 1]]].tobytes(), 5) for d in short], np.uint64) >> np.uint64(self.spare) << np.uint64(self.spare)
             doc = np.concatenate([self.doc, short])
             by = np.argsort(doc, kind="stable")
             self.hashes, self.doc = np.concatenate([self.hashes, extra])[by], doc[by]
