@@ -156,7 +156,7 @@ def host_of(url: str = "url"):
 
 
 def deduce(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """host, template: the paths of each host's valid equivalence classes, nested (a path is valid only below a valid one)."""
+    """host, template: the paths of each host's valid equivalence classes, nested (a tag is valid only below a valid one)."""
     some = pages.select(host_of().alias("host"), "page_id", "html")
 
     def count(batches):
@@ -179,7 +179,7 @@ def deduce(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     often = counted.where("path <> ''").join(on, "host").where(~F.col("path").contains("/#") | (F.col("all_pages") > 1)).where((F.col("pages") >= F.lit(support) * F.col("all_pages")) & (F.col("once") == F.col("pages")))
     classes = often.groupBy("host", "pages", "vector").agg(F.collect_list("path").alias("paths"))
     nested = classes.groupBy("host").agg(F.flatten(F.collect_list("paths")).alias("paths"))
-    inner = F.filter("paths", lambda p: (F.regexp_extract(p, r"^(.*)/[^/]*$", 1) == "") | F.array_contains("paths", F.regexp_extract(p, r"^(.*)/[^/]*$", 1)))
+    inner = F.filter("paths", lambda p: p.contains("/#") | (F.regexp_extract(p, r"^(.*)/[^/]*$", 1) == "") | F.array_contains("paths", F.regexp_extract(p, r"^(.*)/[^/]*$", 1)))
     return nested.select("host", F.array_sort(inner).alias("template"))
 
 

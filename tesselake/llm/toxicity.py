@@ -8,8 +8,7 @@ the average of its words' logits: scoring keeps one number a word in a bounded m
 its most toxic window does (a few words in a long text stay visible), through a logistic curve fitted on
 a part of the sample that the layers weren't trained on.
 
-Defined cases: null and empty texts, and texts without a letter, have no words and score as a neutral
-window; texts of any length are scored whole; repeated rows are repeated; an empty table gives an
+Defined cases: null and empty texts, and texts without a letter, have no words and score 0; texts of any length are scored whole; repeated rows are repeated; an empty table gives an
 empty result; with no labels, or labels of one class only, every score is 0.
 """
 
@@ -92,12 +91,15 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
         return model
     scorer = Scorer(model)
     z = np.array([scorer.peak(t) for t, r in zip(texts, rest, strict=True) if r])
-    model.slope, model.centre = fit_curve(z, y[rest])
+    model.slope, model.centre = fit_curve(z, y[rest], model.bias)
     return model
 
 
-def fit_curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and centre of a logistic curve: the threshold falls midway between the values that part the classes with fewest mistakes."""
+def fit_curve(z: np.ndarray, y: np.ndarray, neutral: float) -> tuple[float, float]:
+    """Slope and centre of a logistic curve: the threshold falls midway between the values that part the classes with fewest mistakes.
+
+    It stays above what a text of neutral words gets, so a short text isn't toxic for want of words.
+    """
     order = np.argsort(z, kind="stable")
     z, y = z[order], y[order]
     wrong = np.concatenate([[0], np.cumsum(y == 1)]) + (y == 0).sum() - np.concatenate([[0], np.cumsum(y == 0)])
@@ -105,7 +107,7 @@ def fit_curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     k = int(best[len(best) // 2])
     low, high = (z[k - 1] if k else z[0] - 1), (z[k] if k < len(z) else z[-1] + 1)
     slope = 4 / max(1e-6, float(np.median(z[y == 1]) - np.median(z[y == 0])))
-    at = (low + high) / 2
+    at = max((low + high) / 2, neutral + 0.1 * max(0.0, float(np.median(z[y == 1])) - neutral))
     return slope, float(at - math.log(THRESHOLD / (1 - THRESHOLD)) / slope)
 
 
@@ -203,7 +205,7 @@ class Scorer:
         return peak(np.array(logits, np.float64)) + self.model.bias
 
     def score(self, text: str | None) -> float:
-        return self.model.probability(self.peak(text))
+        return self.model.probability(self.peak(text)) if words_of(text) else 0.0
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
