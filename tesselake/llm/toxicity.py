@@ -29,7 +29,7 @@ BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 8, 3, 5
 #: The bag of a window is averaged over so many n-grams a word, so that a telling stem counts as much in a long word.
 USUAL_GRAMS = 12
 #: Labelled documents of each class that the model is fitted on, and words read of each.
-SAMPLE_DOCS, SAMPLE_WORDS = 1500, 400
+SAMPLE_DOCS, SAMPLE_WORDS = 1000, 250
 #: Words of a window; a shorter text counts as if the rest were neutral.
 WINDOW, PEAK = 32, 128
 #: A bucket is trained if so many sampled documents hold it: a rarer one could only be learned by heart.
