@@ -29,15 +29,15 @@ BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 8, 3, 5
 #: The bag of a window is averaged over so many n-grams a word, so that a telling stem counts as much in a long word.
 USUAL_GRAMS = 12
 #: Labelled documents of each class that the model is fitted on, and words read of each.
-SAMPLE_DOCS, SAMPLE_WORDS = 1000, 250
+SAMPLE_DOCS, SAMPLE_WORDS = 1000, 400
 #: Words of a window; a shorter text counts as if the rest were neutral.
-WINDOW, PEAK = 32, 128
-#: A bucket is trained if so many sampled documents hold it: a rarer one could only be learned by heart.
+WINDOW, PEAK = 32, 64
+#: A bucket is trained if so many sampled documents hold it, and tells the classes apart beyond chance: another could only be learned by heart.
 LEAST_DOCS = 4
 #: Largest log odds (a mark of one language is as good as one of another), standard deviations that chance may give, and the output layer's weight on the starting odds.
 MOST = 2.0
-CHANCE, GAIN = 5.0, 20.0
-EPOCHS, RATE, THRESHOLD = 4, 0.005, 0.7
+CHANCE, GAIN = 6.0, 20.0
+EPOCHS, RATE, THRESHOLD = 300, 0.03, 0.7
 #: Words that a worker keeps the logit of.
 MEMO = 300_000
 
@@ -136,10 +136,11 @@ def fit_layers(texts: list[str], y: np.ndarray, seed: int) -> Model | None:
             in_docs[y_doc[k], np.fromiter({g for w in set(words) for g in grams[w]}, np.int64)] += 1
     odds = shrunk_odds(in_docs, np.bincount(y_doc, minlength=2))
     in_docs = in_docs.sum(axis=0)
-    used = np.flatnonzero(in_docs >= LEAST_DOCS)
+    telling = (in_docs >= LEAST_DOCS) & (odds != 0)
+    used = np.flatnonzero(telling)
     gram_row = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
     word_of = np.concatenate([np.asarray(g) for g in grams])
-    kept = in_docs[word_of] >= LEAST_DOCS
+    kept = telling[word_of]
     gram_row, word_of = gram_row[kept], np.searchsorted(used, word_of[kept])
     if len(used) == 0:
         return None
