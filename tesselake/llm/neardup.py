@@ -6,10 +6,11 @@ quantised weights, so that two documents agree in a sample with the probability
 similarity. ROWS samples make a band; documents that agree in a band are candidates, and a candidate is a
 link only if its exact weighted Jaccard similarity is 0.8 or more. Classes are the links' components.
 
-Groups of candidates are never paired up: equal texts are one candidate, and each round compares a
-group with a few of its members (one in the first round) that stand in for it. Members whose class already
-is the group's need no more comparing; as long as a group holds several classes there is another round,
-until every member outside the main class has been compared with all of the group.
+Groups of candidates are never paired up: equal texts are one candidate, and all of a group are first
+compared with one member. Those outside the group's largest class by then are compared with the rest of the
+group inside tasks of bounded size (at most LEFT by RIGHT members), which compare the samples drawn, verify
+pairs of different classes that agree in LEAST_SAME or more of them, and emit only links that join classes.
+A pair at 0.8 agrees in fewer with a probability of 0.00002.
 
 Defined cases: a null text, and one without words, is alone in its class; a text of fewer than five
 words is one shingle; equal texts share a class whatever their ids; rows with the same id and text are one
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselake.llm import grams
@@ -35,8 +36,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 13 bands of 3: a pair at 0.8 shares a band with probability 1 - (1 - 0.8 ** 3) ** 13 = 0.9999.
 BANDS, ROWS = 13, 3
 HASHES = BANDS * ROWS
-#: Members of a group that each round after the first compares with all of it.
-STANDINS = 8
+#: Members of a group that a task compares with one another, and rows of a task of small groups.
+LEFT, RIGHT, TASK_ROWS = 400, 800, 2000
+LEAST_SAME = 20
 
 
 class Shingles(grams.Bucket):
@@ -130,7 +132,7 @@ def _sketch(n_docs: int, groups: int):
     def sketch(docs: pa.Table, answers: pa.Table) -> pa.Table:
         """Per document: its id, a hash of its text and one key a band."""
         if docs.num_rows == 0:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.list_(pa.int64()))], names=["doc_id", "same", "keys"])
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.binary())], names=["doc_id", "same", "keys", "drawn"])
         bucket = Shingles(docs, SHINGLE, lower=True)
         doc, shingles, weights = bucket.weighted(answers, n_docs, groups)
         rows, drawn = samples(doc, shingles, weights)
@@ -140,7 +142,8 @@ def _sketch(n_docs: int, groups: int):
         same = [xxhash.xxh3_128_digest(bucket.texts[d].encode("utf-8", "surrogatepass")) for d in rows]
         ids = bucket.table.column("doc_id").take(pa.array(rows))
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()))
-        return pa.table([ids, pa.array(same, pa.binary()), flat], names=["doc_id", "same", "keys"])
+        short = pa.array([x.tobytes() for x in (drawn & np.uint64(0xFFFFFFFF)).astype(np.uint32)], pa.binary())
+        return pa.table([ids, pa.array(same, pa.binary()), flat, short], names=["doc_id", "same", "keys", "drawn"])
 
     return sketch
 
@@ -183,6 +186,42 @@ def _verify(threshold: float):
     return verify
 
 
+def _joins(threshold: float):
+    """Compares the members of cells; emits the links that join two classes."""
+
+    def joins(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[int, int, float]] = []
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        sides = [{k: t.column(k).to_pylist() for k in ("cell", "doc_id", "class_id", "shingles", "weights")} | {"drawn": np.frombuffer(b"".join(t.column("drawn").to_pylist()), np.uint32).reshape(-1, HASHES)} for t in (left, right)]
+        one, two = sides
+        in_cell: dict[str, list[int]] = {}
+        for j, cell in enumerate(two["cell"]):
+            in_cell.setdefault(cell, []).append(j)
+        for i, cell in enumerate(one["cell"]):
+            others = np.array(in_cell.get(cell, ()), np.int64)
+            if not len(others):
+                continue
+            near = others[(two["drawn"][others] == one["drawn"][i]).sum(axis=1) >= LEAST_SAME]
+            a, wa = np.frombuffer(one["shingles"][i], np.uint64), np.frombuffer(one["weights"][i], np.float32)
+            for j in near.tolist():
+                x, y = root(one["class_id"][i]), root(two["class_id"][j])
+                if x != y:
+                    similar = weighted_jaccard(a, wa, np.frombuffer(two["shingles"][j], np.uint64), np.frombuffer(two["weights"][j], np.float32))
+                    if similar >= threshold:
+                        parent[max(x, y)] = min(x, y)
+                        found.append((one["doc_id"][i], two["doc_id"][j], similar))
+        columns = list(zip(*found, strict=True)) or [(), (), ()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["u", "v", "similarity"])
+
+    return joins
+
+
 def components(links: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest id) of each document with a link: labels fall along links and jump to their own label's label."""
     edges = materialize(links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
@@ -203,7 +242,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bucket_bytes
     plan = grams.plan(some, bucket_bytes)
     dealt = some.withColumn("b", plan.bucket())
     answers = materialize(grams.blobs(dealt, SHINGLE, plan.groups, lower=True, counts=True, bucket=Shingles).groupBy("r").applyInArrow(_answer, "b int, r int, df binary"), "df")
-    found = dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(_sketch(plan.docs, plan.groups), "doc_id long, same binary, keys array<long>")
+    found = dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(_sketch(plan.docs, plan.groups), "doc_id long, same binary, keys array<long>, drawn binary")
     sketches = materialize(found, "sketches")
     # equal texts are one candidate: the first of them stands for all
     first = sketches.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
@@ -223,25 +262,28 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bucket_bytes
 
     links = materialize(verified(members.where("doc_id <> main").select(F.col("doc_id").alias("u"), F.col("main").alias("v")).distinct()), "links")
     classes = components(links)
-    compared = members.select("g", "main").distinct().select("g", F.col("main").alias("doc_id"))
-    while True:
-        # a group is open while some member that was not compared with all of it is outside its main class
-        named = members.select("g", "doc_id").join(classes, "doc_id", "left").select("g", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-        several = named.groupBy("g").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high").select("g")
-        open_ = named.join(several, "g")
-        sizes = open_.groupBy("g", "class_id").agg(F.count(F.lit(1)).alias("n"))
-        largest = sizes.groupBy("g").agg(F.max(F.struct("n", "class_id")).alias("top")).select("g", F.col("top.class_id").alias("most"))
-        outside = open_.join(largest, "g").where("class_id <> most").join(compared, ["g", "doc_id"], "left_anti")
-        at = Window.partitionBy("g").orderBy("doc_id")
-        standins = materialize(outside.withColumn("k", F.row_number().over(at)).where(F.col("k") <= STANDINS).select("g", F.col("doc_id").alias("v"), F.col("class_id").alias("of")), "standins")
-        if standins.isEmpty():
-            break
-        pairs = open_.join(standins, "g").where("class_id <> of").select(F.least("doc_id", "v").alias("u"), F.greatest("doc_id", "v").alias("v")).distinct()
-        more = materialize(verified(pairs), "links")
-        compared = compared.unionByName(standins.select("g", F.col("v").alias("doc_id")))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            classes = components(links)
+    named = materialize(members.select("g", "doc_id").join(classes, "doc_id", "left").select("g", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id")), "named")
+    sizes = named.groupBy("g", "class_id").agg(F.count(F.lit(1)).alias("n"))
+    open_ = sizes.groupBy("g").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class_id")).alias("top")).where("top.n < n")
+    open_ = open_.select("g", F.col("top.class_id").alias("most"), F.ceil((F.col("n") - F.col("top.n")) / LEFT).cast("int").alias("lefts"), F.ceil(F.col("n") / RIGHT).cast("int").alias("rights"))
+    some = materialize(named.join(open_, "g"), "open")
+    n_tasks = max(1, some.count() // TASK_ROWS)
+    part = lambda seed, n: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = some.where("class_id <> most").withColumn("i", part(1, "lefts")).withColumn("j", each("rights"))
+    right = some.withColumn("j", part(2, "rights")).withColumn("i", each("lefts"))
+
+    def cells(side: DataFrame) -> DataFrame:
+        side = side.select("doc_id", "class_id", F.concat_ws(" ", "g", "i", "j").alias("cell"))
+        side = side.join(vectors, "doc_id").join(sketches.select("doc_id", "drawn").dropDuplicates(["doc_id"]), "doc_id")
+        # a cell of a large group is a task's work alone; those of small groups share one
+        own = [F.col(c).alias(c) for c in ("doc_id", "class_id", "cell", "shingles", "weights", "drawn")]  # so that the sides share no column
+        return side.select(*own, F.pmod(F.xxhash64("cell"), F.lit(n_tasks)).alias("task"))
+
+    more = cells(left).groupBy("task").cogroup(cells(right).groupBy("task")).applyInArrow(_joins(threshold), "u long, v long, similarity double")
+    more = materialize(more, "links")
+    if not more.isEmpty():
+        classes = components(links.unionByName(more))
     through = docs.select("doc_id").join(copies.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     return through.join(classes.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"))
 
