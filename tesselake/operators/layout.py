@@ -91,6 +91,9 @@ def mirrors(scanned: DataFrame, objects: DataFrame, banned: DataFrame, pool_memb
         count(bare & F.coalesce("bad_pool", F.lit(False))).alias("pool_banned"),
         F.bool_or("gap").alias("has_gap"),
         F.coalesce(F.max(F.when(F.col("covers"), F.col("ext_end"))), F.lit(0)).alias("reach"),
+        F.min_by("error", F.when(F.col("error").isNotNull(), F.col("comp_ord"))).alias("row_error"),
+        F.min(F.when(F.col("error").isNotNull(), F.col("comp_ord"))).alias("error_ord"),
+        F.bool_or("trailing").alias("trailing"),
     )
     return m.withColumn("banned", F.col("banned_components") > 0).withColumn("usable", usable())
 
@@ -109,24 +112,39 @@ def coverage(scanned: DataFrame) -> DataFrame:
     return scanned.groupBy("file_id", "mirror_id").agg(rows.alias("rows")).selectExpr("file_id", "mirror_id", f"{fold} as f").select("file_id", "mirror_id", F.col("f.c").alias("coverage_end"), F.col("f.g").alias("has_gap"))
 
 
-def verdicts(files: DataFrame, components: DataFrame, objects: DataFrame, banned: DataFrame, pool_members: DataFrame, declared: DataFrame | None = None) -> DataFrame:
-    """One row for each file that has components: mirrors, banned, safe, usable, any_stale, needs_resync, error.
+def usable_after_resync() -> Column:
+    """Mirrors usable once the stale ones that a resync reaches are in sync (none that is NOSYNC or OFFLINE)."""
+    size = F.col("file_size")
+    clean = (F.col("banned_components") == 0) & (F.col("unusable") == 0) & (F.col("missing_data") == 0) & (F.col("pool_banned") == 0) & ~F.col("has_gap")
+    return clean & ((size <= 0) | ((F.col("reach") >= size) & (F.col("init") > 0)))
+
 
-    Counters of a file that couldn't be read are null. ``declared``: file_id and the mirror count of the
-    layout's header, refused where it is over 1 and differs.
+def file_states(mirrors: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """One row for each file that has components: counts, error, and its mirrors in slot order for the planner.
+
+    ``declared``: file_id and the mirror count of the layout's header, refused where it is over 1 and differs.
+    Counters of a file that couldn't be read are null.
     """
-    scanned = scan(components, files)
-    m = mirrors(scanned, objects, banned, pool_members)
-    f = m.groupBy("file_id").agg(
+    f = mirrors.groupBy("file_id").agg(
         F.count(F.lit(1)).cast("int").alias("mirrors"),
         F.count_if("banned").cast("int").alias("banned"),
         F.count_if(~F.col("banned")).cast("int").alias("safe"),
         F.count_if(~F.col("banned") & F.col("usable")).cast("int").alias("usable"),
         F.bool_or("any_stale").alias("any_stale"),
         (F.first("flr_state").isin(S.FLR_WRITE_PENDING, S.FLR_SYNC_PENDING) | F.bool_or("any_stale")).alias("needs_resync"),
+        F.count_if(usable_after_resync()).cast("int").alias("after_resync"),
+        F.array_sort(F.collect_list(F.struct("slot", "mirror_id", "banned", "usable"))).alias("by_slot"),
+        F.coalesce(F.min_by("row_error", "error_ord"), F.when(F.bool_or("trailing"), S.EINVAL)).cast("int").alias("error"),
     )
-    f = f.join(first_errors(scanned).select("file_id", "error"), "file_id", "left")
     if declared is not None:
         f = f.join(declared, "file_id", "left").withColumn("error", F.coalesce("error", F.when((F.col("declared") > 1) & (F.col("declared") != F.col("mirrors")), S.EINVAL))).drop("declared")
     good = F.col("error").isNull()
-    return f.select("file_id", *(F.when(good, F.col(c)).alias(c) for c in ("mirrors", "banned", "safe", "usable", "any_stale", "needs_resync")), F.coalesce("error", F.lit(0)).cast("int").alias("error"))
+    return f.select("file_id", *(F.when(good, F.col(c)).alias(c) for c in (*COUNTS, "after_resync", "by_slot")), F.coalesce("error", F.lit(0)).cast("int").alias("error"))
+
+
+COUNTS = ("mirrors", "banned", "safe", "usable", "any_stale", "needs_resync")
+
+
+def verdicts(files: DataFrame, components: DataFrame, objects: DataFrame, banned: DataFrame, pool_members: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """file_id, mirrors, banned, safe, usable, any_stale, needs_resync, error of each file that has components."""
+    return file_states(mirrors(scan(components, files), objects, banned, pool_members), declared).select("file_id", *COUNTS, "error")

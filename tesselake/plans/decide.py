@@ -107,17 +107,12 @@ def new_mirror(before: DataFrame, after: DataFrame, outside: DataFrame | None =
     return j.select("file_id", F.when(grown, F.col("new.mirror_id")).otherwise(0).cast("int").alias("added_id"), errno.cast("int").alias("errno"), why.alias("verdict"))
 
 
-def usable_after_resync() -> Column:
-    """Mirrors usable once the stale ones that a resync reaches are in sync (none that is NOSYNC or OFFLINE)."""
-    size = F.col("file_size")
-    clean = (F.col("banned_components") == 0) & (F.col("unusable") == 0) & (F.col("missing_data") == 0) & (F.col("pool_banned") == 0) & ~F.col("has_gap")
-    return clean & ((size <= 0) | ((F.col("reach") >= size) & (F.col("init") > 0)))
+def plan_counts(targeted: DataFrame) -> DataFrame:
+    """Projected numbers of actions for each file that isn't done: resync first, add, delete banned, add, delete surplus.
 
-
-def plan_counts(targeted: DataFrame, mirrors: DataFrame) -> DataFrame:
-    """Projected numbers of actions for each file that isn't done: resync first, add, delete banned, add, delete surplus."""
-    after = mirrors.groupBy("file_id").agg(F.count_if(usable_after_resync()).alias("after_resync"))
-    t = targeted.where("error = 0").join(after, "file_id").where(~is_done())
+    ``targeted``: targets over ``layout.file_states``; the mirrors in slot order are handed on.
+    """
+    t = targeted.where("error = 0").where(~is_done())
     first = (F.col("usable") == 0) & F.col("needs_resync")
     t = t.withColumn("projected_resync_first", first).withColumn("left_usable", F.when(first, F.col("after_resync")).otherwise(F.col("usable")))
     t = t.withColumn("projected_add_first", (F.col("left_usable") == 0).cast("int"))
@@ -125,24 +120,28 @@ def plan_counts(targeted: DataFrame, mirrors: DataFrame) -> DataFrame:
     return t.select(
         "file_id", "target", "projected_resync_first", "projected_add_first", F.col("banned").alias("projected_delete_banned"),
         F.greatest(F.lit(0), F.col("target") - held).cast("int").alias("projected_add"), F.greatest(F.lit(0), held - F.col("target")).cast("int").alias("projected_delete_surplus"),
-        (F.col("needs_resync") & ~first).alias("projected_resync_last"),
+        (F.col("needs_resync") & ~first).alias("projected_resync_last"), "by_slot",
     )
 
 
-def plan_actions(counts: DataFrame, mirrors: DataFrame) -> DataFrame:
+def plan_actions(counts: DataFrame) -> DataFrame:
     """file_id, step, action, mirror_id, reason: the projected actions in order. New mirrors have no id yet.
 
     A file whose banned mirrors outnumber the rounds that a run makes is cut off there, as a run would be.
+    Everything is made from the one row of the file.
     """
-    banned = mirrors.where("banned").withColumn("nth", F.row_number().over(Window.partitionBy("file_id").orderBy("slot"))).where(F.col("nth") <= S.MAX_ROUNDS)
-    one = lambda when, group, action: counts.where(when).select("file_id", F.lit(group).alias("part"), F.lit(1).alias("nth"), F.lit(action).alias("action"), F.lit(None).cast("int").alias("mirror_id"), F.lit(None).cast("string").alias("reason"))
-    adds = counts.where("projected_add > 0").select("file_id", F.lit(4).alias("part"), F.explode(F.sequence(F.lit(1), "projected_add")).alias("nth"), F.lit("ADD").alias("action"), F.lit(None).cast("int").alias("mirror_id"), F.lit(None).cast("string").alias("reason"))
-    gone = banned.join(counts.select("file_id"), "file_id").select("file_id", F.lit(3).alias("part"), "nth", F.lit("DELETE").alias("action"), F.col("mirror_id").cast("int").alias("mirror_id"), F.lit("banned").alias("reason"))
-    surplus = surplus_order(mirrors).join(counts.select("file_id", "projected_delete_surplus"), "file_id").where(F.col("victim") <= F.col("projected_delete_surplus"))
-    surplus = surplus.select("file_id", F.lit(5).alias("part"), F.col("victim").alias("nth"), F.lit("DELETE").alias("action"), F.col("mirror_id").cast("int").alias("mirror_id"), F.lit("surplus").alias("reason"))
-    steps = one("projected_resync_first", 1, "RESYNC").unionByName(one("projected_add_first > 0", 2, "ADD")).unionByName(gone).unionByName(adds).unionByName(surplus).unionByName(one("projected_resync_last", 6, "RESYNC"))
-    step = F.row_number().over(Window.partitionBy("file_id").orderBy("part", "nth"))
-    return steps.select("file_id", step.cast("int").alias("step"), "action", "mirror_id", "reason")
+    act = lambda action, mirror="cast(null as int)", reason="cast(null as string)": f"named_struct('action', '{action}', 'mirror_id', {mirror}, 'reason', {reason})"
+    none = f"slice(array({act('ADD')}), 1, 0)"
+    when = lambda test, action: f"if({test}, array({act(action)}), {none})"
+    ids = lambda test: f"transform(filter(by_slot, m -> {test}), m -> cast(m.mirror_id as int))"
+    gone = f"slice({ids('m.banned')}, 1, {S.MAX_ROUNDS})"
+    spare = f"slice(concat({ids('not m.banned and not m.usable')}, slice({ids('not m.banned and m.usable')}, 2, {2 * S.MAX_MIRRORS})), 1, projected_delete_surplus)"
+    parts = [
+        when("projected_resync_first", "RESYNC"), when("projected_add_first > 0", "ADD"), f"transform({gone}, x -> {act('DELETE', 'x', chr(39) + 'banned' + chr(39))})",
+        f"array_repeat({act('ADD')}, projected_add)", f"transform({spare}, x -> {act('DELETE', 'x', chr(39) + 'surplus' + chr(39))})", when("projected_resync_last", "RESYNC"),
+    ]
+    steps = counts.select("file_id", F.posexplode(F.expr(f"concat({', '.join(parts)})")).alias("at", "act"))
+    return steps.select("file_id", (F.col("at") + 1).cast("int").alias("step"), "act.action", "act.mirror_id", "act.reason")
 
 
 def retries(outcomes: DataFrame, attempts: int) -> DataFrame:

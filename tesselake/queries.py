@@ -36,6 +36,9 @@ class Tables:
     def targets(self):
         return decide.targets(self.files, self.verdicts())
 
+    def states(self):
+        return decide.targets(self.files, layout.file_states(self.mirrors()))
+
     def usable_osts(self):
         return lookups.usable_osts(self.osts, self.banned, self.pool_members)
 
@@ -190,11 +193,11 @@ def retry_policy(t):
 
 
 def plan_counts(t):
-    return decide.plan_counts(t.targets(), t.mirrors())
+    return decide.plan_counts(t.states()).drop("by_slot")
 
 
 def plan_actions(t):
-    return decide.plan_actions(plan_counts(t), t.mirrors())
+    return decide.plan_actions(decide.plan_counts(t.states()))
 
 
 def requests_of(t):

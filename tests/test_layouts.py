@@ -86,8 +86,8 @@ def test_picks(spark):
     v, m, files = analyse(spark, comps, banned=[0])
     assert decide.pick_banned(m).first()["mirror_id"] == 1
     assert [r["mirror_id"] for r in decide.surplus_order(m).orderBy("victim").collect()] == [3, 4]
-    counts = decide.plan_counts(decide.targets(files, v), m)
-    actions = [(r["action"], r["mirror_id"]) for r in decide.plan_actions(counts, m).orderBy("step").collect()]
+    counts = decide.plan_counts(decide.targets(files, layout.file_states(m)))
+    actions = [(r["action"], r["mirror_id"]) for r in decide.plan_actions(counts).orderBy("step").collect()]
     assert actions == [("DELETE", 1), ("DELETE", 3), ("DELETE", 4), ("RESYNC", None)]
 
 
