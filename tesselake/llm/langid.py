@@ -16,10 +16,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselake.llm.common import held_out
+from tesselake.llm.common import held_out, pick
 
 UNDETERMINED = "und"
 #: Labelled documents of each language that the automata are fitted on, and letters of their distinct words.
@@ -126,10 +126,11 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     some = some.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    at = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = some.select("lang", "doc_id", F.substring("text", 1, DOC_LETTERS).alias("text")).withColumn("n", F.row_number().over(at)).where(F.col("n") <= SAMPLE_DOCS)
+    picked = pick(some, "lang", SAMPLE_DOCS)
+    texts = some.select("doc_id", "lang", F.substring("text", 1, DOC_LETTERS).alias("text")).join(F.broadcast(picked), ["doc_id", "lang"])
+    texts = texts.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).orderBy("lang", F.xxhash64("doc_id"), "doc_id")
     samples: dict[str, dict] = {}
-    for row in picked.orderBy("lang", "n").select("lang", "text").toLocalIterator():
+    for row in texts.select("lang", "text").toLocalIterator():
         words = samples.setdefault(row["lang"], {})
         for w in _LETTERS.findall(row["text"].lower()):
             words.setdefault(w)

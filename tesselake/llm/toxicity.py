@@ -20,10 +20,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselake.llm.common import held_out
+from tesselake.llm.common import held_out, pick
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 8, 3, 5
 #: The bag of a window is averaged over so many n-grams a word, so that a telling stem counts as much in a long word.
@@ -215,8 +215,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list
     Held-out documents are never read. A document labelled more than once counts as toxic if any label is.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    at = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.withColumn("n", F.row_number().over(at)).where(F.col("n") <= SAMPLE_DOCS).select("doc_id", "toxic")
+    picked = pick(known, "toxic", SAMPLE_DOCS)
     some = docs.select("doc_id", "text").where(F.col("text").isNotNull() & ~held_out())
     rows = some.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id")
     texts, y = [], []
