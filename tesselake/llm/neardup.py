@@ -99,7 +99,10 @@ def _gamma_table(steps: int = 1 << 16) -> np.ndarray:
 
 
 _GAMMA = _gamma_table()
-_LOG_GAMMA = np.log(_GAMMA)
+_R, _ONE_BY_R, _LOG_C = (x.astype(np.float32) for x in (_GAMMA, 1 / _GAMMA, np.log(_GAMMA)))
+_BETA = (np.arange(1 << 16) / (1 << 16)).astype(np.float32)
+#: Shingles that are drawn from at once: few enough for the arrays to stay in a processor's cache.
+BLOCK = 1 << 14
 
 
 def samples(doc: np.ndarray, shingles: np.ndarray, weights: np.ndarray, hashes: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
@@ -111,21 +114,25 @@ def samples(doc: np.ndarray, shingles: np.ndarray, weights: np.ndarray, hashes:
     """
     new = np.ones(len(doc), bool)
     new[1:] = doc[1:] != doc[:-1]
-    starts = np.flatnonzero(new)
-    sizes = np.diff(np.append(starts, len(doc)))
+    starts = np.append(np.flatnonzero(new), len(doc))
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(doc), BLOCK)), len(starts) - 1))
+    drawn = [_draw(shingles[starts[i] : starts[j]], weights[starts[i] : starts[j]], starts[i:j] - starts[i], hashes) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    return doc[starts[:-1]], np.concatenate(drawn) if drawn else np.empty((0, hashes), np.uint64)
+
+
+def _draw(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, hashes: int) -> np.ndarray:
+    sizes = np.diff(np.append(starts, len(shingles)))
     out = np.empty((len(starts), hashes), np.uint64)
-    log_w = np.log(weights.astype(np.float64))
-    low = np.uint64(0xFFFF)
+    log_w = np.log(weights, dtype=np.float32)
     for k in range(hashes):
-        bits = mix64(shingles + np.uint64((k + 1) * int(GOLDEN) % 2**64))
-        r = _GAMMA[bits & low]
-        beta = ((bits >> np.uint64(32)) & low).astype(np.float64) / 65536
-        t = np.floor(log_w / r + beta)
-        least = _LOG_GAMMA[(bits >> np.uint64(16)) & low] - r * (t - beta + 1)
+        bits = mix64(shingles + np.uint64((k + 1) * int(GOLDEN) % 2**64)).view(np.uint16).reshape(-1, 4)
+        beta = _BETA[bits[:, 2]]
+        t = np.floor(log_w * _ONE_BY_R[bits[:, 0]] + beta)
+        least = _LOG_C[bits[:, 1]] - (t - beta + 1) * _R[bits[:, 0]]
         hit = np.flatnonzero(least == np.repeat(np.minimum.reduceat(least, starts), sizes))
         first = hit[np.searchsorted(hit, starts)]
         out[:, k] = mix64(shingles[first] + t[first].astype(np.int64).view(np.uint64) * GOLDEN)
-    return doc[starts], out
+    return out
 
 
 def _sketch(n_docs: int, groups: int):

@@ -163,3 +163,18 @@ def test_contaminated(spark):
         assert got == [(1, 1), (1, 2), (2, 1), (2, 2), (7, 1), (7, 2), (7, 3)]
         assert sorted(r["doc_id"] for r in decontaminate.clean(df, items, size).collect()) == [3, 4, 5, 6]
     assert decontaminate.contaminated(df.withColumn("item_id", F.lit("x")), items).count() == 7
+
+
+def test_samples_agree_as_often_as_documents_do():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    shingles = np.sort(rng.integers(0, 2**63, 400).astype(np.uint64))
+    weights = (1 + rng.random(400)).astype(np.float32)
+    kept = rng.random(400) < 0.85
+    one = neardup.samples(np.zeros(400, int), shingles, weights, 2000)[1][0]
+    two = neardup.samples(np.zeros(kept.sum(), int), shingles[kept], weights[kept], 2000)[1][0]
+    similar = neardup.weighted_jaccard(shingles, weights, shingles[kept], weights[kept])
+    assert abs((one == two).mean() - similar) < 0.04
+    both = neardup.samples(np.r_[np.zeros(400, int), np.ones(kept.sum(), int)], np.r_[shingles, shingles[kept]], np.r_[weights, weights[kept]], 2000)[1]
+    assert (both == np.stack([one, two])).all()
