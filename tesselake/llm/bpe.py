@@ -14,8 +14,6 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 
-UNKNOWN = -1
-
 
 class Vocabulary:
     """Pieces with ids and merge priorities (lower first, ties leftmost); symbols are str or bytes of length 1."""
@@ -48,20 +46,60 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def own(self, n: int) -> bool:
-        """Whether merging a piece's own text yields that piece (else no text ever does)."""
+    def _spines(self, n: int) -> tuple[list, list, bool]:
+        """How the first and the last part of a piece's own text grow: (part, priority of the merge that made it) lists, and whether the piece comes out."""
         found = self._own.get(n)
         if found is None:
-            found = self._own[n] = self.merge(self.names[n]) == [self.names[n]]
+            piece = self.names[n]
+            parts = [piece[i : i + 1] for i in range(len(piece))]
+            first, last = [(parts[0], None)], [(parts[-1], None)]
+            get = self.priority.get
+            while len(parts) > 1:
+                best, at = None, -1
+                for i in range(len(parts) - 1):
+                    p = get(parts[i] + parts[i + 1])
+                    if p is not None and (best is None or p < best):
+                        best, at = p, i
+                if best is None:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                if at == 0:
+                    first.append((parts[0], best))
+                if at == len(parts) - 1:
+                    last.append((parts[-1], best))
+            found = self._own[n] = (first, last, len(parts) == 1)
         return found
 
+    def own(self, n: int) -> bool:
+        """Whether merging a piece's own text yields that piece (else no text ever does)."""
+        return self._spines(n)[2]
+
     def stable(self, a: int, b: int) -> bool:
+        """Whether merging the text of two pieces leaves just these two.
+
+        Only a merge across their border could join them. The part before the border and the part after it
+        grow by merges of known priorities; a merge of the two comes about if its priority is before the next
+        merge of the left part, and not after that of the right one (of equal merges the left one goes first).
+        """
         found = self._stable.get((a, b))
         if found is None:
             if len(self._stable) > 500_000:
                 self._stable.clear()
-            x, y = self.names[a], self.names[b]
-            found = self._stable[a, b] = self.merge(x + y) == [x, y]
+            left, right = self._spines(a)[1], self._spines(b)[0]
+            i, j, found, get = 0, 0, True, self.priority.get
+            while found:
+                p = left[i + 1][1] if i + 1 < len(left) else None
+                q = right[j + 1][1] if j + 1 < len(right) else None
+                c = get(left[i][0] + right[j][0])
+                if c is not None and (p is None or c < p) and (q is None or c <= q):
+                    found = False
+                elif p is None and q is None:
+                    break
+                elif q is None or p is not None and p <= q:
+                    i += 1
+                else:
+                    j += 1
+            self._stable[a, b] = found
         return found
 
 
@@ -70,29 +108,27 @@ NARROW = 12
 
 
 class Transducer:
-    """Reads symbols, emits piece ids; with ``counts`` the transitions are annotated with their number alone."""
+    """Reads symbols and emits what ``code`` makes of the ids of pieces; with ``counts`` their number alone.
 
-    def __init__(self, vocabulary: Vocabulary, counts: bool = False, max_states: int = 100_000):
-        self.v, self.counts, self.max_states = vocabulary, counts, max_states
+    A state is the dictionary of its transitions: symbol to (next state, emitted). Under None it keeps what
+    defines it, and what is still to be emitted if the text ends there.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, counts: bool = False, max_states: int = 200_000, code=tuple):
+        self.v, self.counts, self.max_states, self.code = vocabulary, counts, max_states, code
         self.below: dict = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.states: list[tuple] = []
-        self.moves: list[dict] = []
-        self.flushes: list = []
-        self.number: dict = {}
+        self.states: dict = {}
         self.narrowed: dict = {}
-        nothing = 0 if self.counts else ()
-        self.start = self._state(((0, None, None, nothing),), (self.v.root,))
+        self.start = self._state(((0, None, None, 0 if self.counts else ()),), (self.v.root,))
 
-    def _state(self, key: tuple, nodes: tuple) -> int:
-        found = self.number.get(key)
+    def _state(self, key: tuple, nodes: tuple) -> dict:
+        found = self.states.get(key)
         if found is None:
-            found = self.number[key] = len(self.moves)
-            self.states.append((key, nodes))
-            self.moves.append({})
-            self.flushes.append(key[-1][3])  # the last start is the end of what was read
+            pending = key[-1][3]  # the last start is the end of what was read
+            found = self.states[key] = {None: (key, nodes, pending if self.counts else self.code(pending))}
         return found
 
     def _below(self, node: dict) -> frozenset | None:
@@ -125,9 +161,9 @@ class Transducer:
             self.narrowed[k] = found
         return found
 
-    def _step(self, state: int, symbol):
+    def _step(self, state: dict, symbol):
         """The transition on a symbol: (next state, what is emitted); None where no piece covers the symbol."""
-        key, nodes = self.states[state]
+        key, nodes, _ = state[None]
         live, live_nodes, new = [], [], None
         for (_, last, allowed, pending), node in zip(key, nodes, strict=True):
             child = node.get(symbol)
@@ -153,42 +189,56 @@ class Transducer:
             shortest = min(len(x[3]) for x in live)
             while done < shortest and all(x[3][done] == first[done] for x in live):
                 done += 1
-            emitted = first[:done]
+            emitted = self.code(first[:done]) if done else None
             live = [(a, b, c, p[done:]) for a, b, c, p in live]
-        move = self.moves[state][symbol] = (self._state(tuple(live), tuple(live_nodes)), emitted)
+        move = state[symbol] = (self._state(tuple(live), tuple(live_nodes)), emitted)
         return move
 
-    def run(self, text):
-        """Number of pieces of a text (with ``counts``) or their ids; a symbol without a piece counts as its UTF-8 bytes, or is UNKNOWN.
+    def _beyond(self, state: dict, symbol):
+        """A transition not met before; inside one long text the other states are dropped when there are too many."""
+        if len(self.states) > 2 * self.max_states:
+            self._reset()
+        return self._step(state, symbol)
+
+    def number(self, text) -> int:
+        """Number of pieces of a text (needs ``counts``); a symbol without a piece counts as its UTF-8 bytes.
 
-        The text may have any length; memory is that of the output and of the states kept.
+        The text may have any length; memory is that of the states kept.
         """
-        if len(self.moves) > self.max_states:
+        if len(self.states) > self.max_states:
             self._reset()
-        moves, state, counts = self.moves, self.start, self.counts
-        total, out = 0, []
+        state, total = self.start, 0
         for symbol in text:
-            move = moves[state].get(symbol)
-            if move is None:
-                if len(moves) > 2 * self.max_states:  # inside one long text: what stands open is kept
-                    key, nodes = self.states[state]
-                    self._reset()
-                    moves, state = self.moves, self._state(key, nodes)
-                move = self._step(state, symbol)
+            try:
+                state, emitted = state[symbol]
+            except KeyError:
+                move = self._beyond(state, symbol)
                 if move is None:
-                    if counts:
-                        total += self.flushes[state] + len(symbol.encode("utf-8", "surrogatepass"))
-                    else:
-                        out += [*self.flushes[state], UNKNOWN]
+                    total += state[None][2] + len(symbol.encode("utf-8", "surrogatepass"))
                     state = self.start
                     continue
-            state, emitted = move
+                state, emitted = move
             if emitted:
-                if counts:
-                    total += emitted
-                else:
-                    out += emitted
-        return total + self.flushes[state] if counts else [*out, *self.flushes[state]]
+                total += emitted
+        return total + state[None][2]
+
+    def emitted(self, text) -> list:
+        """What is emitted for a text, in pieces of the kind ``code`` makes; every symbol must have a piece."""
+        if len(self.states) > self.max_states:
+            self._reset()
+        state, out = self.start, []
+        for symbol in text:
+            try:
+                state, coded = state[symbol]
+            except KeyError:
+                move = self._beyond(state, symbol)
+                if move is None:
+                    raise ValueError(f"the vocabulary has no piece for {symbol!r}") from None
+                state, coded = move
+            if coded is not None:
+                out.append(coded)
+        out.append(state[None][2])
+        return out
 
 
 @lru_cache(maxsize=2)

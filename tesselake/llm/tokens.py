@@ -20,26 +20,29 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselake.llm.bpe import UNKNOWN, Transducer, piece_vocabulary, rank_vocabulary
+from tesselake.llm.bpe import Transducer, piece_vocabulary, rank_vocabulary
 
 #: Segments whose result a worker keeps at once.
-MEMO = 300_000
+MEMO = 200_000
 #: Characters of a text that are mapped as one chunk.
 CHUNK = 1 << 18
 
 
 class Memo(dict):
-    """Results by segment; emptied when full, so its memory is bounded."""
+    """Results by segment, in two generations of bounded size: what was asked for lately outlives what wasn't."""
 
     def __init__(self, make, most: int = MEMO):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        found = self.make(key)
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
         if len(key) <= 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
             self[key] = found
         return found
 
@@ -61,8 +64,8 @@ class PieceCounter:
 
     def __init__(self, model: str):
         self.transducer = Transducer(piece_vocabulary(model), counts=True)
-        self.words = Memo(lambda w: self.transducer.run(MARK + w))
-        self.runs = Memo(self.transducer.run)
+        self.words = Memo(lambda w: self.transducer.number(MARK + w))
+        self.runs = Memo(self.transducer.number)
         self.start = re.compile(f"(?<!{MARK}){MARK}")
         self.cut = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -131,6 +134,10 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+#: Characters that are neither letters, numbers nor white space.
+MARKS = frozenset(".,;:!?|%&*$#")
+
+
 def compiled(pattern: str):
     """The pattern with \\s and \\S spelled out, so that no library's own idea of white space counts."""
     pattern = pattern.replace("[^\\s", f"[^{SPACE}").replace("\\s", f"[{SPACE}]").replace("\\S", f"[^{SPACE}]")
@@ -188,21 +195,25 @@ class ByteCodec:
 
     def __init__(self, ranks: str, pattern: str):
         vocabulary, self.names = rank_vocabulary(ranks)
-        self.transducer = Transducer(vocabulary)
+        coded = [n.to_bytes(4, "little") for n in range(len(self.names))]
+        self.transducer = Transducer(vocabulary, code=lambda ids: b"".join([coded[n] for n in ids]))
         self.find = compiled(pattern).finditer
         self.utf8 = Utf8States(self.names)
         self.matches = Memo(self._match)
-        self.first = Memo(self._segment)
+        self.first = Memo(self._segment, MEMO // 10)
         self.later = Memo(lambda w: self._segment(" " + w))
         self.broken = re.compile(f"[{SPACE}][{SPACE}]|^[{SPACE}]|[{SPACE}]\\Z")
 
     def _match(self, match: str) -> bytes:
-        ids = self.transducer.run(match.encode("utf-8", "surrogatepass"))
-        if UNKNOWN in ids:
-            raise ValueError(f"the ranks have no piece for a byte of {match!r}")
-        return np.array(ids, "<u4").tobytes()
+        return b"".join(self.transducer.emitted(match.encode("utf-8", "surrogatepass")))
 
     def _segment(self, segment: str) -> bytes:
+        """A space or none and then letters are one match, a mark behind them another; else the pattern tells."""
+        word = segment[segment[:1] == " " :]
+        if word.isalpha():
+            return self._match(segment)
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return self.matches[segment[:-1]] + self.matches[segment[-1]]
         return b"".join([self.matches[m[0]] for m in self.find(segment)])
 
     def encode(self, text: str) -> bytes:

@@ -33,7 +33,7 @@ def test_states_are_dropped_without_changing_counts():
     t = bpe.Transducer(bpe.piece_vocabulary(MODEL), counts=True, max_states=20)
     for text in made_up(50):
         whole = "▁" + text.replace(" ", "▁")
-        assert (t.run(whole) if text else 0) == len(sp.encode(text))
+        assert (t.number(whole) if text else 0) == len(sp.encode(text))
 
 
 def test_ids_are_the_librarys_and_decode():
