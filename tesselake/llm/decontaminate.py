@@ -15,6 +15,7 @@ their own; empty tables give an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +35,6 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-class Hashes(dict):
-    """64-bit hashes of words, emptied when there are many."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
 def tile(a: list, b: list, least: int = LEAST) -> list[tuple[int, int, int]]:
     """Greedy string tiling of a and b: (start in a, start in b, length), longest first, none overlapping.
 
@@ -100,7 +91,8 @@ class Items:
     def __init__(self, items: list[tuple[int, str]]):
         self.words = [(n, words_of(t)) for n, t in items]
         self.words = [(n, w) for n, w in self.words if w]
-        self.hash = Hashes()
+        # words that no item has are 0: a run with one of them is no seed, and needs no hash
+        self.hash = {w: xxhash.xxh3_64_intdigest(w) | 1 for _, words in self.words for w in words}
         seeds, owner = [], []
         self.short = {}
         for k, (_, words) in enumerate(self.words):
@@ -122,9 +114,13 @@ class Items:
             found = {k for i in range(len(words) - n + 1) for k in known.get(tuple(words[i : i + n]), ())}
             out += [(self.words[k][0], 1.0, n, 1) for k in found]
         if len(words) >= LEAST and len(self.seeds):
-            h = gram_hashes(np.fromiter(map(self.hash.__getitem__, words), np.uint64, len(words)), LEAST)
+            known = np.fromiter(map(self.hash.get, words, repeat(0)), np.uint64, len(words))
+            run = np.convolve(known != 0, np.ones(LEAST, np.int64), "valid") == LEAST
+            if not run.any():
+                return sorted(out)
+            h = gram_hashes(known, LEAST)
             low = np.searchsorted(self.seeds, h, side="left")
-            high = np.searchsorted(self.seeds, h, side="right")
+            high = np.where(run, np.searchsorted(self.seeds, h, side="right"), low)
             hits = np.flatnonzero(high > low)
             near: dict[int, list[int]] = {}
             for at in hits.tolist():
