@@ -1,19 +1,22 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page is a sequence of tag tokens, each told apart by its role (the path of tags and classes down to it).
-Tokens of a host's pages that occur on the same pages, equally often on each, form an equivalence class: one
-commutative signature of the occurrence vector stands for the vector, so it is summed up without gathering
-a host's pages. Classes that hold once on a page, on at least half of the host's pages, are valid; nested by
-their paths they are the host's template. What the template's tokens enclose are its slots. The slots of
-navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out; of the rest
-the article's slots make the text, or all of them where a page has no article. Text that is the same all over
-a host, outside its articles, is a token of the template too.
+A page is a sequence of tokens: its tags, each told apart by its role (the path of tags and classes down to it), and
+its blocks of text, told apart by their place and words. Tokens of a host's pages that occur on the same pages,
+equally often on each, form an equivalence class: one commutative signature of the occurrence vector stands for
+the vector, so it is summed up without gathering a host's pages. Classes that hold once on a page, on at least half
+of the host's pages and on LEAST_PAGES of them, are valid. What a tag of a class encloses is its slots; a block of text
+that is of the same class as a tag around it (or as the whole page) fills its slot with the same words wherever the slot
+is, so it is the template's, inside articles as well as outside. All other blocks are in slots that hold data.
+
+Classes tell the template from data, but not the article from other data. That is decided by rules: data in
+navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments, by tag, role and class
+words, is left out; of the rest the text in article or main elements is taken, or all where a page has none there.
 
 Blocks end at block-level tags; character references are decoded, white space inside a block becomes one space,
 blocks are joined by an empty line.
 
 Defined cases: null and empty pages give an empty text; broken, unclosed or truncated markup is read as far
-as it goes; a page alone on its host is read by the same rules with its own tokens as the template; a null
+as it goes; a host of fewer than LEAST_PAGES pages has no template; a null
 url is a host of its own; repeated rows are repeated; an empty table gives an empty result.
 """
 
@@ -31,6 +34,10 @@ from tesselake.llm.common import materialize
 
 #: Share of a host's pages that a valid class is on.
 SUPPORT = 0.5
+#: Pages that text has to be on before it can be told to be the host's.
+LEAST_PAGES = 3
+#: The token that each page has once, around all others.
+ROOT = 0
 
 # Element kinds of HTML, and the words that mark what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,13 +72,19 @@ def _mark(tag: str, rest: str) -> tuple[str, bool]:
     return ".".join([tag, *names]), out
 
 
+def _below(path: int, role: str) -> int:
+    """A path as 62 bits, the lowest of which is 0 (a text's is 1), so that its length doesn't grow with its depth."""
+    return xxhash.xxh3_64_intdigest(f"{path:x}/{role}") >> 2 & ~1
+
+
 def tokens(page: str):
-    """Yields (kind, role path, text, out, article): kind "open" for a tag, "text" for a run of text, "break" at the end of a block."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, out, in the article
+    """Yields (kind, path, what, out, article): kind "open" for a tag (what: its parent's path), "text" for a run of text, "break" at the end of a block."""
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, path, out, in the article
+    none = ("", ROOT, False, False)
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            top = stack[-1] if stack else ("", "", False, False)
+            top = stack[-1] if stack else none
             yield "text", top[1], page[at : m.start()], top[2], top[3]
         at = m.end()
         tag = m["tag"]
@@ -83,7 +96,7 @@ def tokens(page: str):
             if depth is not None:
                 del stack[depth:]
             if tag in BLOCK:
-                yield "break", "", "", False, False
+                yield "break", ROOT, "", False, False
             continue
         for closed in (CLOSES.get(tag),):
             while closed and stack and (stack[-1][0] in closed or stack[-1][0] not in BLOCK and any(s[0] in closed for s in stack[-4:])):
@@ -91,64 +104,66 @@ def tokens(page: str):
                     stack.pop()
                     break
                 stack.pop()
-        top = stack[-1] if stack else ("", "", False, False)
+        top = stack[-1] if stack else none
         role, out = _mark(tag, m["rest"])
         out |= tag == "header" and not top[3]
-        path = f"{top[1]}/{role}"
-        yield "open", path, "", out or top[2], top[3]
+        path = _below(top[1], role)
+        yield "open", path, top[1], out or top[2], top[3]
         if tag in BLOCK:
-            yield "break", "", "", False, False
+            yield "break", ROOT, "", False, False
         if tag == "br":
             yield "text", top[1], " ", top[2], top[3]
         if tag not in VOID and not m["rest"].rstrip().endswith("/") and len(stack) < 200:
             stack.append((tag, path, out or top[2], top[3] or tag in ("article", "main")))
     if at < len(page):
-        top = stack[-1] if stack else ("", "", False, False)
+        top = stack[-1] if stack else none
         yield "text", top[1], page[at:], top[2], top[3]
 
 
-def occurrences(page: str) -> dict[str, int]:
-    counts: dict[str, int] = {}
-    for kind, path, text, out, article in tokens(page):
-        if kind == "open":
-            counts[path] = counts.get(path, 0) + 1
-        elif kind == "text" and not (out or article) and (words := text.split()):
-            path = text_token(path, words)
-            counts[path] = counts.get(path, 0) + 1
-    return counts
-
-
-def text_token(path: str, words: list[str]) -> str:
-    """A run of text in its role: constant text of a host is a token of the template like a tag."""
-    return f"{path}/#{xxhash.xxh3_64_hexdigest(' '.join(words))}"
-
-
-def extract(page: str | None, template: frozenset[str]) -> str:
-    """The text of the slots that are the article's, or of all text slots; ``template``: the tokens of the host's template."""
-    if not page:
-        return ""
-    blocks: list[tuple[str, bool]] = []
+def read(page: str) -> tuple[list[tuple[int, str, bool]], dict[int, list[int]]]:
+    """(path, text, in the article) of the blocks that no rule leaves out, and (parent, count) by token of the page."""
+    blocks: list[tuple[int, str, bool]] = []
+    counts = {ROOT: [ROOT, 1]}
     run: list[str] = []
-    inside = False
+    inside, place = False, None
 
     def close():
+        nonlocal place
         text = " ".join(_html.unescape("".join(run)).split())
         if text:
-            blocks.append((text, inside))
+            blocks.append((place, text, inside))
+            counts.setdefault(text_token(place, text), [place, 0])[1] += 1
         run.clear()
+        place = None
 
-    for kind, path, text, out, article in tokens(page):
-        if kind == "break":
+    for kind, path, what, out, article in tokens(page):
+        if kind == "open":
+            counts.setdefault(path, [what, 0])[1] += 1
+        elif kind == "break":
             close()
-        elif kind == "text" and not out:
+        elif not out:
             if article != inside:
                 close()
                 inside = article
-            if article or not template or not (words := text.split()) or text_token(path, words) not in template:
-                run.append(text)
+            if place is None and not what.isspace():
+                place = path
+            run.append(what)
     close()
-    chosen = [t for t, a in blocks if a] if any(a for _, a in blocks) else [t for t, _ in blocks]
-    return "\n\n".join(chosen)
+    return blocks, counts
+
+
+def text_token(path: int, text: str) -> int:
+    """A block of text in its place."""
+    return xxhash.xxh3_64_intdigest(f"{path:x}#{text}".encode("utf-8", "surrogatepass")) >> 2 | 1
+
+
+def extract(page: str | None, template: frozenset[int]) -> str:
+    """The data of the article's slots, or of all slots; ``template``: the text tokens of the host's template."""
+    if not page:
+        return ""
+    blocks = read(page)[0]
+    article = any(inside for _, _, inside in blocks)
+    return "\n\n".join(text for path, text, inside in blocks if inside >= article and text_token(path, text) not in template)
 
 
 def host_of(url: str = "url"):
@@ -156,39 +171,55 @@ def host_of(url: str = "url"):
 
 
 def deduce(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """host, template: the paths of each host's valid equivalence classes, nested (a tag is valid only below a valid one)."""
+    """host, template: the text tokens of each host's valid equivalence classes that a tag of their class encloses."""
     some = pages.select(host_of().alias("host"), "page_id", "html")
+    names = ["host", "token", "parent", "pages", "once", "vector"]
 
     def count(batches):
         for batch in batches:
-            rows: dict[tuple[str, str], list[int]] = {}
+            rows: dict[tuple[str, int, int], list[int]] = {}
             for host, page_id, page in zip(*(batch.column(c).to_pylist() for c in ("host", "page_id", "html")), strict=True):
-                for path, n in occurrences(page or "").items():
-                    row = rows.setdefault((host, path), [0, 0, 0])
+                for token, (parent, n) in read(page or "")[1].items():
+                    row = rows.setdefault((host, token, parent), [0, 0, 0])
                     row[0] += 1
                     row[1] += n == 1
                     row[2] = (row[2] + xxhash.xxh3_64_intdigest(f"{page_id} {n}")) & (1 << 62) - 1
-                row = rows.setdefault((host, ""), [0, 0, 0])
-                row[0] += 1
-            columns = [[h for h, _ in rows], [p for _, p in rows], *map(list, zip(*rows.values(), strict=True))] if rows else [[], [], [], [], []]
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "path", "pages", "once", "vector"])
+            columns = [*zip(*rows, strict=True), *zip(*rows.values(), strict=True)] if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k else pa.string()) for k, c in enumerate(columns)], names=names)
+
+    counted = some.mapInArrow(count, "host string, token long, parent long, pages long, once long, vector long").groupBy("host", "token", "parent").agg(F.sum("pages").alias("pages"), F.sum("once").alias("once"), F.sum(F.col("vector").cast("decimal(38,0)")).cast("string").alias("vector"))
+    on = counted.where(F.col("token") == ROOT).select("host", F.col("pages").alias("all_pages"))
+    often = counted.join(on, "host").where((F.col("pages") >= F.lit(support) * F.col("all_pages")) & (F.col("pages") >= LEAST_PAGES) & ((F.col("token") % 2 == 0) | (F.col("once") == F.col("pages"))))
+    classes = often.groupBy("host").agg(F.collect_list(F.struct("token", "parent", "pages", "vector")).alias("tokens"))
+
+    def enclosed(batches):
+        for batch in batches:
+            found = [constant({t["token"]: t for t in tokens}) for tokens in batch.column("tokens").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.list_(pa.int64()))], names=["host", "template"])
+
+    return classes.mapInArrow(enclosed, "host string, template array<long>")
+
 
-    counted = some.mapInArrow(count, "host string, path string, pages long, once long, vector long").groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.sum("once").alias("once"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"))
-    on = counted.where("path = ''").select("host", F.col("pages").alias("all_pages"))
-    often = counted.where("path <> ''").join(on, "host").where(~F.col("path").contains("/#") | (F.col("all_pages") > 1)).where((F.col("pages") >= F.lit(support) * F.col("all_pages")) & (F.col("once") == F.col("pages")))
-    classes = often.groupBy("host", "pages", "vector").agg(F.collect_list("path").alias("paths"))
-    nested = classes.groupBy("host").agg(F.flatten(F.collect_list("paths")).alias("paths"))
-    inner = F.filter("paths", lambda p: p.contains("/#") | (F.regexp_extract(p, r"^(.*)/[^/]*$", 1) == "") | F.array_contains("paths", F.regexp_extract(p, r"^(.*)/[^/]*$", 1)))
-    return nested.select("host", F.array_sort(inner).alias("template"))
+def constant(often: dict[int, dict]) -> list[int]:
+    """The text tokens that have a tag of their own class, or the whole page, around them."""
+    found = []
+    for token, text in often.items():
+        if token % 2:
+            tag = often[text["parent"]]
+            # a tag is on all pages of what it encloses; once it is on more, so are all around it
+            while tag["vector"] != text["vector"] and tag["pages"] == text["pages"] and tag["token"] != ROOT:
+                tag = often[tag["parent"]]
+            if tag["vector"] == text["vector"]:
+                found.append(token)
+    return sorted(found)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page; the templates (a few paths a host) join the pages."""
+    """page_id, url, text, n_chars of every page; the templates (a few tokens a host) join the pages."""
     templates = materialize(deduce(pages), "templates")
     some = pages.select("page_id", "url", "html", host_of().alias("host")).join(templates, "host", "left").select("page_id", "url", "html", "template")
 
-    def read(batches):
+    def texts_of(batches):
         known: dict = {}
         for batch in batches:
             texts = []
@@ -197,4 +228,4 @@ def main_text(pages: DataFrame) -> DataFrame:
                 texts.append(extract(page, known.setdefault(key, frozenset(key))))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return some.mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    return some.mapInArrow(texts_of, "page_id long, url string, text string, n_chars long")

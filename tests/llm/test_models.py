@@ -139,3 +139,16 @@ def test_main_text(spark):
     assert [got[k]["text"] for k in (3, 4, 5, 6, 7)] == ["", "", "alone text", "cut", "no tags at all"]
     assert [got[10 + k]["text"] for k in range(5)] == [f"Page {k} speaks of {k}." for k in range(5)]
     assert html.main_text(pages.limit(0)).count() == 0
+
+
+def texts_of(spark, pages):
+    found = html.main_text(spark.createDataFrame([(k, f"http://{host}/{k}", page) for k, (host, page) in enumerate(pages)], "page_id long, url string, html string"))
+    return [r["text"] for r in found.orderBy("page_id").collect()]
+
+
+def test_classes_of_tags_and_text_make_the_template(spark):
+    note = "<div class=kiosk><p>On paper from Monday.</p></div>"
+    page = "<html><body><article><p>Our house rules.</p><p>Story {0}.</p><p>{1}</p>{2}</article></body></html>"
+    # a tag of its own goes with the note, none with the saying: as often, and both inside the article
+    pages = [("h.org", page.format(k, "A saying." if k < 4 else f"End {k}.", note if k in (0, 1, 2, 5) else "")) for k in range(6)]
+    assert texts_of(spark, pages) == [f"Story {k}.\n\n" + ("A saying." if k < 4 else f"End {k}.") for k in range(6)]
