@@ -2,7 +2,7 @@
 
 A page is a sequence of tokens: its tags, each told apart by its role (the path of tags and classes down to it), and
 its blocks of text, told apart by their place and words. Tokens of a host's pages that occur on the same pages,
-equally often on each, form an equivalence class: one commutative signature of the occurrence vector stands for
+equally often on each, form an equivalence class. Pages with the same blocks of text are copies and count as one page. One commutative signature of the occurrence vector stands for
 the vector, so it is summed up without gathering a host's pages. Classes that hold once on a page, on at least half
 of the host's pages and on LEAST_PAGES of them, are valid. What a tag of a class encloses is its slots; a block of text
 that is of the same class as a tag around it (or as the whole page) fills its slot with the same words wherever the slot
@@ -16,7 +16,7 @@ Blocks end at block-level tags; character references are decoded, white space in
 blocks are joined by an empty line.
 
 Defined cases: null and empty pages give an empty text; broken, unclosed or truncated markup is read as far
-as it goes; a host of fewer than LEAST_PAGES pages has no template; a null
+as it goes; a host of fewer than LEAST_PAGES different pages has no template; a null
 url is a host of its own; repeated rows are repeated; an empty table gives an empty result.
 """
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 import html as _html
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,7 +35,7 @@ from tesselake.llm.common import materialize
 
 #: Share of a host's pages that a valid class is on.
 SUPPORT = 0.5
-#: Pages that text has to be on before it can be told to be the host's.
+#: Pages with different texts that a text has to be on before it can be told to be the host's.
 LEAST_PAGES = 3
 #: The token that each page has once, around all others.
 ROOT = 0
@@ -172,22 +173,37 @@ def host_of(url: str = "url"):
 
 def deduce(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     """host, template: the text tokens of each host's valid equivalence classes that a tag of their class encloses."""
-    some = pages.select(host_of().alias("host"), "page_id", "html")
+    some = pages.select(host_of().alias("host"), "html")
     names = ["host", "token", "parent", "pages", "once", "vector"]
 
+    def counts_of(batches):
+        for batch in batches:
+            rows: dict[tuple[str, bytes], tuple[bytes, bytes]] = {}
+            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                blocks, counts = read(page or "")
+                texts = xxhash.xxh3_128_digest("\0".join(t for _, t, _ in blocks).encode("utf-8", "surrogatepass"))
+                packed = np.array([(token, parent, n) for token, (parent, n) in sorted(counts.items())], np.int64).tobytes()
+                row = (xxhash.xxh3_128_digest(packed), packed)
+                rows[host, texts] = min(row, rows.get((host, texts), row))
+            columns = [*zip(*rows, strict=True), *zip(*rows.values(), strict=True)] if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.string()) for k, c in enumerate(columns)], names=["host", "texts", "same", "packed"])
+
+    # of copies the tokens of one are counted, whichever comes first by its hash
+    different = some.mapInArrow(counts_of, "host string, texts binary, same binary, packed binary").groupBy("host", "texts").agg(F.min(F.struct("same", "packed")).alias("one")).select("host", "texts", F.col("one.packed").alias("packed"))
+
     def count(batches):
         for batch in batches:
             rows: dict[tuple[str, int, int], list[int]] = {}
-            for host, page_id, page in zip(*(batch.column(c).to_pylist() for c in ("host", "page_id", "html")), strict=True):
-                for token, (parent, n) in read(page or "")[1].items():
+            for host, texts, packed in zip(*(batch.column(c).to_pylist() for c in ("host", "texts", "packed")), strict=True):
+                for token, parent, n in np.frombuffer(packed, np.int64).reshape(-1, 3).tolist():
                     row = rows.setdefault((host, token, parent), [0, 0, 0])
                     row[0] += 1
                     row[1] += n == 1
-                    row[2] = (row[2] + xxhash.xxh3_64_intdigest(f"{page_id} {n}")) & (1 << 62) - 1
+                    row[2] = (row[2] + xxhash.xxh3_64_intdigest(texts, n)) & (1 << 62) - 1
             columns = [*zip(*rows, strict=True), *zip(*rows.values(), strict=True)] if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k else pa.string()) for k, c in enumerate(columns)], names=names)
 
-    counted = some.mapInArrow(count, "host string, token long, parent long, pages long, once long, vector long").groupBy("host", "token", "parent").agg(F.sum("pages").alias("pages"), F.sum("once").alias("once"), F.sum(F.col("vector").cast("decimal(38,0)")).cast("string").alias("vector"))
+    counted = different.mapInArrow(count, "host string, token long, parent long, pages long, once long, vector long").groupBy("host", "token", "parent").agg(F.sum("pages").alias("pages"), F.sum("once").alias("once"), F.sum(F.col("vector").cast("decimal(38,0)")).cast("string").alias("vector"))
     on = counted.where(F.col("token") == ROOT).select("host", F.col("pages").alias("all_pages"))
     often = counted.join(on, "host").where((F.col("pages") >= F.lit(support) * F.col("all_pages")) & (F.col("pages") >= LEAST_PAGES) & ((F.col("token") % 2 == 0) | (F.col("once") == F.col("pages"))))
     classes = often.groupBy("host").agg(F.collect_list(F.struct("token", "parent", "pages", "vector")).alias("tokens"))

@@ -152,3 +152,10 @@ def test_classes_of_tags_and_text_make_the_template(spark):
     # a tag of its own goes with the note, none with the saying: as often, and both inside the article
     pages = [("h.org", page.format(k, "A saying." if k < 4 else f"End {k}.", note if k in (0, 1, 2, 5) else "")) for k in range(6)]
     assert texts_of(spark, pages) == [f"Story {k}.\n\n" + ("A saying." if k < 4 else f"End {k}.") for k in range(6)]
+
+
+def test_copies_and_pairs_of_pages_are_no_template(spark):
+    pair = [("two.org", f"<html><body><div><p>Page {k}.</p></div></body></html>") for k in range(2)]
+    copies = [("copies.org", f"<html><body><!-- {k} --><div><p>The whole story.</p></div></body></html>") for k in range(6)]
+    copies += [("copies.org", f"<html><body><div><p>Other {k}.</p></div></body></html>") for k in range(2)]
+    assert texts_of(spark, pair + copies) == ["Page 0.", "Page 1."] + ["The whole story."] * 6 + ["Other 0.", "Other 1."]
