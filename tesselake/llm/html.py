@@ -16,7 +16,7 @@ Blocks end at block-level tags; character references are decoded, white space in
 blocks are joined by an empty line.
 
 Defined cases: null and empty pages give an empty text; broken, unclosed or truncated markup is read as far
-as it goes; a host of fewer than LEAST_PAGES different pages has no template; a null
+as it goes, and elements are told apart however deep they are nested; a host of fewer than LEAST_PAGES different pages has no template; a null
 url is a host of its own; repeated rows are repeated; an empty table gives an empty result.
 """
 
@@ -82,7 +82,14 @@ def tokens(page: str):
     """Yields (kind, path, what, out, article): kind "open" for a tag (what: its parent's path), "text" for a run of text, "break" at the end of a block."""
     stack: list[tuple[str, int, bool, bool]] = []  # tag, path, out, in the article
     none = ("", ROOT, False, False)
+    opened: dict[str, int] = {}  # elements of each tag on the stack
     at = 0
+
+    def pop():
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             top = stack[-1] if stack else none
@@ -93,18 +100,16 @@ def tokens(page: str):
             continue
         tag = tag.lower()
         if m["end"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
+            if opened.get(tag):
+                while pop() != tag:
+                    pass
             if tag in BLOCK:
                 yield "break", ROOT, "", False, False
             continue
         for closed in (CLOSES.get(tag),):
             while closed and stack and (stack[-1][0] in closed or stack[-1][0] not in BLOCK and any(s[0] in closed for s in stack[-4:])):
-                if stack[-1][0] in closed:
-                    stack.pop()
+                if pop() in closed:
                     break
-                stack.pop()
         top = stack[-1] if stack else none
         role, out = _mark(tag, m["rest"])
         out |= tag == "header" and not top[3]
@@ -114,7 +119,8 @@ def tokens(page: str):
             yield "break", ROOT, "", False, False
         if tag == "br":
             yield "text", top[1], " ", top[2], top[3]
-        if tag not in VOID and not m["rest"].rstrip().endswith("/") and len(stack) < 200:
+        if tag not in VOID and not m["rest"].rstrip().endswith("/"):
+            opened[tag] = opened.get(tag, 0) + 1
             stack.append((tag, path, out or top[2], top[3] or tag in ("article", "main")))
     if at < len(page):
         top = stack[-1] if stack else none

@@ -159,3 +159,10 @@ def test_copies_and_pairs_of_pages_are_no_template(spark):
     copies = [("copies.org", f"<html><body><!-- {k} --><div><p>The whole story.</p></div></body></html>") for k in range(6)]
     copies += [("copies.org", f"<html><body><div><p>Other {k}.</p></div></body></html>") for k in range(2)]
     assert texts_of(spark, pair + copies) == ["Page 0.", "Page 1."] + ["The whole story."] * 6 + ["Other 0.", "Other 1."]
+
+
+def test_deep_pages():
+    deep = "<div>" * 300 + "<nav>Menu</nav>" + "</div>" * 300
+    assert html.extract(f"<body>{deep}<p>Text.</p></body>", frozenset()) == "Text."
+    assert html.extract(f"<body><div><article><p>One.</p>{deep}<p>Two.</p></article></div></body>", frozenset()) == "One.\n\nTwo."
+    assert html.extract("<b>x" * 50_000 + "</i>" * 50_000, frozenset()) == "x" * 50_000
