@@ -157,7 +157,7 @@ def _sketch(n_docs: int, groups: int):
 
 def _vectors(n_docs: int, groups: int):
     def vectors(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        """The weighted shingles of the documents asked for, sorted, as two packed arrays; rows of one id add up."""
+        """The weighted shingles of the documents asked for, sorted, as two packed arrays; rows of one id have the same text."""
         if docs.num_rows == 0:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=["doc_id", "shingles", "weights"])
         bucket = Shingles(docs, SHINGLE, lower=True)
@@ -243,8 +243,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bucket_bytes: int = grams.BUCKET_BYTES) -> DataFrame:
-    """doc_id and class_id of every document: the smallest id of its near and exact copies."""
+def _classes(docs: DataFrame, threshold: float, bucket_bytes: int) -> DataFrame:
+    """doc_id and class_id of every row, where all rows of an id have the same text."""
     some = docs.select("doc_id", "text")
     plan = grams.plan(some, bucket_bytes)
     dealt = some.withColumn("b", plan.bucket())
@@ -295,12 +295,47 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bucket_bytes
     return through.join(classes.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"))
 
 
-def one_of_each(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def _repeated(docs: DataFrame) -> tuple[bool, bool]:
+    """Whether any id is on several rows, and whether any is with different texts."""
+    text = F.xxhash64("text", F.col("text").isNull())
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(text).alias("low"), F.max(text).alias("high"))
+    row = ids.agg(F.max(F.col("n") > 1).alias("rows"), F.max(F.col("low") < F.col("high")).alias("texts")).first()
+    return bool(row["rows"]), bool(row["texts"])
+
+
+def _node():
+    """A number for an id and text; null without an id."""
+    return F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text", F.col("text").isNull()))
+
+
+def _text_classes(docs: DataFrame, threshold: float, bucket_bytes: int) -> DataFrame:
+    """doc_id, node, same: each text of each id, judged by itself, and its class among the nodes."""
+    nodes = docs.select("doc_id", _node().alias("node"), "text")
+    found = _classes(nodes.select(F.col("node").alias("doc_id"), "text"), threshold, bucket_bytes).where("doc_id is not null").distinct()
+    return materialize(nodes.where("node is not null").select("doc_id", "node").distinct().join(found.select(F.col("doc_id").alias("node"), F.col("class_id").alias("same")), "node").select("doc_id", "node", "same"), "texts")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bucket_bytes: int = grams.BUCKET_BYTES) -> DataFrame:
+    """doc_id and class_id of every document: the smallest id of its near and exact copies."""
+    return _classes(docs, threshold, bucket_bytes)
+
+
+def one_of_each(docs: DataFrame, threshold: float = SIMILARITY, bucket_bytes: int = grams.BUCKET_BYTES) -> DataFrame:
     """The documents that are the first of their class, with all their columns; those without an id stay.
 
-    Of rows that share an id one stays.
+    Each row is judged by its own text: where rows of an id have different texts, each class of texts keeps the
+    one with the smallest id (then number of id and text). Of rows with the same id and text the one with the
+    smallest hash of all columns stays.
     """
-    gone = near_duplicates(docs, threshold).where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return kept if again.isEmpty() else kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    rows, texts = _repeated(docs)
+    if texts:
+        found = _text_classes(docs, threshold, bucket_bytes)
+        first = found.groupBy("same").agg(F.min(F.struct("doc_id", "node")).alias("first")).select(F.col("first.node").alias("__node"))
+        kept = docs.withColumn("__node", _node()).join(first, "__node", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    else:
+        gone = _classes(docs, threshold, bucket_bytes).where("doc_id <> class_id").select("doc_id").distinct()
+        kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if not rows:
+        return kept
+    one = kept.where("doc_id is not null").groupBy("doc_id", "text").agg(F.min(F.struct(F.xxhash64(*docs.columns).alias("h"), F.struct(*docs.columns).alias("row"))).alias("one"))
+    return one.select("one.row.*").unionByName(kept.where("doc_id is null"))

@@ -112,6 +112,13 @@ def test_one_of_each(spark):
     assert sorted(map(str, [r["doc_id"] for r in neardup.one_of_each(docs).collect()])) == ["1", "3", "None"]
 
 
+def test_one_of_each_judges_rows_by_their_text(spark):
+    near = LONG.replace("w59", "changed")
+    rows = [(1, LONG, "a"), (7, "quite another text", "b"), (7, near, "c"), (7, "a third text", "d"), (7, "a third text", "d"), (7, None, "e"), (8, "a third text", "f"), (None, LONG, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, class_id string")
+    assert sorted(r["class_id"] for r in neardup.one_of_each(docs).collect()) == ["a", "b", "d", "e", "n"]
+
+
 def test_tiles_cover_reordered_passages():
     a = [f"a{i}" for i in range(20)]
     b = ["x"] + a[12:20] + ["y"] + a[0:7] + a[7:12]
