@@ -14,7 +14,7 @@ A pair at 0.8 agrees in fewer with a probability of 0.00002.
 
 Defined cases: a null text, and one without words, is alone in its class; a text of fewer than five
 words is one shingle; equal texts share a class whatever their ids; rows with the same id and text are one
-document, and rows with one id but different texts one document of all their shingles; rows without
+document; rows with one id but different texts are compared text by text, and the id joins their classes; rows without
 an id are alone in a class whose id is null; an empty table gives an empty result.
 """
 
@@ -317,7 +317,15 @@ def _text_classes(docs: DataFrame, threshold: float, bucket_bytes: int) -> DataF
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bucket_bytes: int = grams.BUCKET_BYTES) -> DataFrame:
     """doc_id and class_id of every document: the smallest id of its near and exact copies."""
-    return _classes(docs, threshold, bucket_bytes)
+    if not _repeated(docs)[1]:
+        return _classes(docs, threshold, bucket_bytes)
+    texts = _text_classes(docs, threshold, bucket_bytes)
+    # an id joins the classes of its texts
+    least = texts.groupBy("doc_id").agg(F.min("same").alias("v"))
+    labels = components(texts.select("doc_id", F.col("same").alias("u")).join(least, "doc_id").where("u <> v").select("u", "v"))
+    joined = least.join(labels.select(F.col("doc_id").alias("v"), F.col("class_id").alias("label")), "v", "left").select("doc_id", F.coalesce("label", "v").alias("label"))
+    named = joined.join(joined.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label").select("doc_id", "class_id")
+    return docs.select("doc_id").join(named, "doc_id", "left")
 
 
 def one_of_each(docs: DataFrame, threshold: float = SIMILARITY, bucket_bytes: int = grams.BUCKET_BYTES) -> DataFrame:

@@ -119,6 +119,32 @@ def test_one_of_each_judges_rows_by_their_text(spark):
     assert sorted(r["class_id"] for r in neardup.one_of_each(docs).collect()) == ["a", "b", "d", "e", "n"]
 
 
+def test_texts_of_one_id_all_count(spark):
+    docs = [(i % 40 if i % 3 else i, t) for i, t in near_corpus()] + [(None, LONG)]
+    cls = {(r["doc_id"], r["class_id"]) for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), bucket_bytes=3000).collect()}
+    grams = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if i is not None and (w := (t or "").lower().split()) else set() for i, t in docs]
+    df = {}
+    for g in grams:
+        for x in g:
+            df[x] = df.get(x, 0) + 1
+    import math
+
+    n = len(docs)
+    weight = lambda x: 1 + math.log(n / df[x]) / math.log(n)
+    parent = {i: i for i, _ in docs}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(range(n), 2):
+        if grams[a] & grams[b] and sum(map(weight, grams[a] & grams[b])) >= 0.8 * sum(map(weight, grams[a] | grams[b])):
+            x, y = sorted((root(docs[a][0]), root(docs[b][0])))
+            parent[y] = x
+    assert len({i for i, _ in docs}) < n - 20 and cls == {(i, root(i)) for i in parent}
+
+
 def test_tiles_cover_reordered_passages():
     a = [f"a{i}" for i in range(20)]
     b = ["x"] + a[12:20] + ["y"] + a[0:7] + a[7:12]
