@@ -9,7 +9,8 @@ its most toxic window does (a few words in a long text stay visible), through a
 a part of the sample that the layers weren't trained on.
 
 Defined cases: null and empty texts, and texts without a letter, have no words and score 0; texts of any length are scored whole; repeated rows are repeated; an empty table gives an
-empty result; with no labels, or labels of one class only, every score is 0.
+empty result; with few labels the marks they show count little each, but count; with no labels, or labels of
+one class only, or no n-gram in LEAST_DOCS labelled documents, every score is 0.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ USUAL_GRAMS = 12
 SAMPLE_DOCS, SAMPLE_WORDS = 1000, 400
 #: Words of a window; a shorter text counts as if the rest were neutral.
 WINDOW, PEAK = 32, 64
-#: A bucket is trained if so many sampled documents hold it, and tells the classes apart beyond chance: another could only be learned by heart.
+#: A bucket is trained if so many sampled documents hold it: another could only be learned by heart.
 LEAST_DOCS = 4
-#: Largest log odds (a mark of one language is as good as one of another), standard deviations that chance may give, and the output layer's weight on the starting odds.
+#: Largest log odds (a mark of one language is as good as one of another), standard deviations at which a bucket counts half, and the output layer's weight on the starting odds.
 MOST = 2.0
 CHANCE, GAIN = 6.0, 20.0
 EPOCHS, RATE, THRESHOLD = 300, 0.03, 0.7
@@ -111,12 +112,16 @@ def fit_curve(z: np.ndarray, y: np.ndarray, neutral: float) -> tuple[float, floa
     return slope, float(at - math.log(THRESHOLD / (1 - THRESHOLD)) / slope)
 
 
-def shrunk_odds(in_docs: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Where training starts from: each bucket's log odds between the classes, shrunk to 0 where chance could make them."""
+def shrunk_odds(in_docs: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where training starts from: each bucket's log odds between the classes, and the share of them (and of its steps) that counts.
+
+    The share falls with the fourth power of what chance could make, but never to 0: a rare mark, or one of few labels, counts less.
+    """
     p, n = (in_docs[1] + 0.5) / (docs[1] + 1), (in_docs[0] + 0.5) / (docs[0] + 1)
     both = (in_docs.sum(axis=0) + 1) / (docs.sum() + 2)
     z = (p - n) / np.sqrt(both * (1 - both) * (1 / max(1, docs[1]) + 1 / max(1, docs[0])))
-    return np.clip(np.log(p / n), -MOST, MOST) * np.maximum(0, 1 - CHANCE / np.maximum(np.abs(z), 1e-9))
+    share = z**4 / (z**4 + CHANCE**4)
+    return np.clip(np.log(p / n), -MOST, MOST) * share, share
 
 
 def fit_layers(texts: list[str], y: np.ndarray, seed: int) -> Model | None:
@@ -134,9 +139,9 @@ def fit_layers(texts: list[str], y: np.ndarray, seed: int) -> Model | None:
     for k, words in enumerate(doc_words):
         if words:
             in_docs[y_doc[k], np.fromiter({g for w in set(words) for g in grams[w]}, np.int64)] += 1
-    odds = shrunk_odds(in_docs, np.bincount(y_doc, minlength=2))
+    odds, evidence = shrunk_odds(in_docs, np.bincount(y_doc, minlength=2))
     in_docs = in_docs.sum(axis=0)
-    telling = (in_docs >= LEAST_DOCS) & (odds != 0)
+    telling = in_docs >= LEAST_DOCS
     used = np.flatnonzero(telling)
     gram_row = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
     word_of = np.concatenate([np.asarray(g) for g in grams])
@@ -160,6 +165,7 @@ def fit_layers(texts: list[str], y: np.ndarray, seed: int) -> Model | None:
     per_doc = np.bincount(of_doc, minlength=len(y_doc))
     share = (1 / (2 * np.maximum(1, np.bincount(y_doc, minlength=2))[y] * per_doc[of_doc]))[:, None].astype(np.float32)
     target = np.eye(2, dtype=np.float32)[y]
+    steps = (evidence[used, None].astype(np.float32), 1, 1)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (e, w, b)]
     for step in range(1, EPOCHS + 1):
         word_vec = np.zeros((len(grams), DIM), np.float32)
@@ -178,7 +184,7 @@ def fit_layers(texts: list[str], y: np.ndarray, seed: int) -> Model | None:
             m, v = state[k]
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
-            param -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+            param -= RATE * steps[k] * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
     full = np.zeros((BUCKETS, DIM), np.float32)
     full[used] = e
     return Model(full, w, b)

@@ -62,6 +62,24 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score_toxicity(docs, None).collect()} == {0.0}
 
 
+def labelled(n_toxic, n_clean, rare):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("aeioulnrst"), 6)) for _ in range(300)]
+    texts = [" ".join([*rng.choice(words, 30), *(["wretch"] if k < rare else ["idiot"] if k < n_toxic else [])]) for k in range(n_toxic + n_clean)]
+    return texts, [int(k < n_toxic) for k in range(n_toxic + n_clean)], words
+
+
+def test_rare_marks_and_few_labels_count():
+    texts, y, words = labelled(300, 300, 12)  # one toxic text in 25 has the rare mark alone
+    model = toxicity.fit_layers(texts, np.array(y), 7)
+    assert model.word("idiot") > model.word("wretch") > max(map(model.word, words))
+    texts, y, words = labelled(8, 35, 0)
+    model = toxicity.train(texts, y)
+    scorer = toxicity.Scorer(model)
+    clean = " ".join(words[:30])
+    assert scorer.score(clean + " idiot") > scorer.score(clean)
+
+
 def exact(ids, x, q, k):
     s = x @ x[q]
     return sorted((-s[j], ids[j]) for j in range(len(ids)) if ids[j] != ids[q])[:k]
