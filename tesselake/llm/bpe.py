@@ -12,7 +12,10 @@ too many of them, so memory is bounded whatever the text.
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
+
+
+#: Results that a vocabulary or transducer keeps of each kind, to make states faster.
+CACHED = 50_000
 
 
 class Vocabulary:
@@ -83,7 +86,7 @@ class Vocabulary:
         """
         found = self._stable.get((a, b))
         if found is None:
-            if len(self._stable) > 500_000:
+            if len(self._stable) > CACHED:
                 self._stable.clear()
             left, right = self._spines(a)[1], self._spines(b)[0]
             i, j, found, get = 0, 0, True, self.priority.get
@@ -114,7 +117,7 @@ class Transducer:
     defines it, and what is still to be emitted if the text ends there.
     """
 
-    def __init__(self, vocabulary: Vocabulary, counts: bool = False, max_states: int = 200_000, code=tuple):
+    def __init__(self, vocabulary: Vocabulary, counts: bool = False, max_states: int = 150_000, code=tuple):
         self.v, self.counts, self.max_states, self.code = vocabulary, counts, max_states, code
         self.below: dict = {}
         self._reset()
@@ -158,6 +161,8 @@ class Transducer:
                 found = (None, frozenset(n for n in below if self.v.own(n) and (last is None or self.v.stable(last, n))))
             else:
                 found = (None, below & allowed)
+            if len(self.narrowed) > CACHED:
+                self.narrowed.clear()
             self.narrowed[k] = found
         return found
 
@@ -241,7 +246,6 @@ class Transducer:
         return out
 
 
-@lru_cache(maxsize=2)
 def rank_vocabulary(path: str) -> tuple[Vocabulary, list[bytes]]:
     """A file of base64 pieces and ranks; also the pieces by rank."""
     with open(path, "rb") as f:
@@ -253,7 +257,6 @@ def rank_vocabulary(path: str) -> tuple[Vocabulary, list[bytes]]:
     return Vocabulary(ranks, ranks), names
 
 
-@lru_cache(maxsize=2)
 def piece_vocabulary(path: str) -> Vocabulary:
     """The ordinary pieces of a sentencepiece BPE model; control, unknown and byte pieces aren't merged."""
     import sentencepiece

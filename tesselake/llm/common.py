@@ -1,7 +1,9 @@
-"""Helpers that the operators share: tables, materialised steps, words and 64-bit hashes."""
+"""Helpers that the operators share: tables, materialised steps, what workers keep, words and 64-bit hashes."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import math
 import uuid
@@ -11,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only on one machine whose session names no shared folder, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
 
 
@@ -20,25 +22,80 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; our own in local mode alone, where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if not found and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(found or FALLBACK_DIR).rstrip('/')}/tesselake"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder.
+class Shelf:
+    """Parquet tables in the shared folder that cut the lineage of a job's steps, so that a lost executor costs one step.
 
-    The shuffle files of the steps behind it are of no use any more; Spark drops them when their
-    plan objects are collected, so both garbage collectors are asked to run.
+    A table goes when ``drop`` or ``keep`` says that nothing reads it any more; those that the job's result
+    still reads go when the driver ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.dir, self.tables = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.dir)
+        self.files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.files.deleteOnExit(path)
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows of df, read from a new table.
+
+        The shuffle files of the steps behind it are of no use any more; Spark drops them when their
+        plan objects are collected, so both garbage collectors are asked to run.
+        """
+        path = f"{self.dir}/{name}-{uuid.uuid4().hex}"
+        schema = df.schema
+        df.write.parquet(path)
+        del df
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        out = self.spark.read.schema(schema).parquet(path)
+        self.tables.append((out, path))
+        return out
+
+    def drop(self, *gone: DataFrame) -> None:
+        for df, path in self.tables:
+            if any(df is x for x in gone):
+                self.files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+        self.tables = [(df, path) for df, path in self.tables if not any(df is x for x in gone)]
+
+    def keep(self, *kept: DataFrame) -> None:
+        """Drops all tables but these."""
+        self.drop(*(df for df, _ in self.tables if not any(df is x for x in kept)))
+
+
+def own_name(df: DataFrame, name: str) -> str:
+    """A name for a working column that no column of df has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+_OWNED: dict = {}
+
+
+def owned(key, make):
+    """An object that a Python worker keeps between tasks. There is one at a time: workers serve all stages of a job, and
+    another stage's tables would else stay in memory beside it."""
+    if key not in _OWNED:
+        release()
+        _OWNED[key] = make()
+    return _OWNED[key]
+
+
+def release() -> None:
+    """Drops what the worker keeps, and gives the memory back to the system where its library can."""
+    if _OWNED:
+        _OWNED.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def held_out(doc_id="doc_id"):
@@ -102,6 +159,54 @@ def flat_words(texts, ids: WordIds, lower: bool = False) -> tuple[np.ndarray, np
     return (np.concatenate(parts) if parts else np.empty(0, np.int64)), np.asarray(starts, np.int64)
 
 
+class TokenTable(dict):
+    """Numbers the space-delimited tokens of texts at the speed of a dictionary, and keeps a row of figures for each.
+
+    ``figures`` makes the rows of all tokens met for the first time in a call at once. All are dropped
+    together before a call when there are more than ``most``, so memory is bounded by that and one call's texts.
+    """
+
+    def __init__(self, figures, most: int = 200_000):
+        super().__init__()
+        self.figures, self.most, self.new, self.rows = figures, most, [], None
+
+    def __missing__(self, token: str) -> int:
+        n = len(self)
+        self[token] = n
+        self.new.append(token)
+        return n
+
+    def read(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of all tokens of all texts, one after another, and each text's start among them (one more entry than texts)."""
+        if len(self) > self.most:
+            self.clear()
+            self.rows = None
+        parts, starts, get = [], [0], self.__getitem__
+        for text in texts:
+            tokens = text.split() if text else ()
+            parts.append(np.fromiter(map(get, tokens), np.int64, len(tokens)))
+            starts.append(starts[-1] + len(tokens))
+        if self.new:
+            rows = self.figures(self.new)
+            self.rows, self.new = rows if self.rows is None else np.concatenate([self.rows, rows]), []
+        if self.rows is None:
+            return self.figures([]), np.asarray(starts, np.int64)
+        return self.rows[np.concatenate(parts)], np.asarray(starts, np.int64)
+
+
+def portions(texts: list, most: int = 1 << 22):
+    """Runs of texts of at most so many characters (or one text), as (first, one after the last)."""
+    first, size = 0, 0
+    for k, text in enumerate(texts):
+        n = len(text) if text else 0
+        if k > first and size + n > most:
+            yield first, k
+            first, size = k, 0
+        size += n
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def gram_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words that start at each place; the last n - 1 places have none."""
     m = len(word_hashes) - n + 1

@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselake.llm.bpe import Transducer, piece_vocabulary, rank_vocabulary
+from tesselake.llm.common import owned
 
 #: Segments whose result a worker keeps at once.
-MEMO = 200_000
+MEMO = 60_000
 #: Characters of a text that are mapped as one chunk.
 CHUNK = 1 << 18
 
@@ -99,16 +100,6 @@ class PieceCounter:
         return (self.runs[head] if head else 0) + (count or 0) + (self.runs[tail] if tail else 0)
 
 
-_WORKERS: dict = {}
-
-
-def _worker(kind, *args):
-    """One tokenizer for each Python worker process."""
-    if (kind, args) not in _WORKERS:
-        _WORKERS[kind, args] = kind(*args)
-    return _WORKERS[kind, args]
-
-
 def _texts(batch: pa.RecordBatch) -> list[str]:
     return ["" if t is None else t for t in batch.column("text").to_pylist()]
 
@@ -117,7 +108,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
     """doc_id, n_bytes, n_tokens, over_limit of every text; one narrow pass, no shuffle."""
 
     def count(batches):
-        counter = _worker(PieceCounter, model)
+        counter = owned((PieceCounter, model), lambda: PieceCounter(model))
         for batch in batches:
             texts = _texts(batch)
             n = np.fromiter(map(counter.count, texts), np.int64, len(texts))
@@ -200,7 +191,7 @@ class ByteCodec:
         self.find = compiled(pattern).finditer
         self.utf8 = Utf8States(self.names)
         self.matches = Memo(self._match)
-        self.first = Memo(self._segment, MEMO // 10)
+        self.first = Memo(self._segment, MEMO // 4)
         self.later = Memo(lambda w: self._segment(" " + w))
         self.broken = re.compile(f"[{SPACE}][{SPACE}]|^[{SPACE}]|[{SPACE}]\\Z")
 
@@ -237,7 +228,7 @@ def byte_bpe(docs: DataFrame, ranks: str, pattern: str, ids: bool = False, id_co
     """doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip of every text; with ``ids`` also the ids. One narrow pass."""
 
     def code(batches):
-        codec = _worker(ByteCodec, ranks, pattern)
+        codec = owned((ByteCodec, ranks, pattern), lambda: ByteCodec(ranks, pattern))
         for batch in batches:
             columns: list[list] = [[] for _ in range(5)]
             for text in _texts(batch):
