@@ -15,7 +15,8 @@ A pair at 0.8 agrees in fewer with a probability of 0.00002.
 Defined cases: a null text, and one without words, is alone in its class; a text of fewer than five
 words is one shingle; equal texts share a class whatever their ids; rows with the same id and text are one
 document; rows with one id but different texts are compared text by text, and the id joins their classes; rows without
-an id are alone in a class whose id is null; an empty table gives an empty result.
+an id are alone in a class whose id is null; an empty table gives an empty result; columns other than doc_id and text
+are not read by ``near_duplicates`` and carried through by ``one_of_each``, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselake.llm import grams
-from tesselake.llm.common import GOLDEN, materialize, mix64
+from tesselake.llm.common import GOLDEN, Shelf, mix64, own_name, portions, release
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 13 bands of 3: a pair at 0.8 shares a band with probability 1 - (1 - 0.8 ** 3) ** 13 = 0.9999.
@@ -61,14 +62,9 @@ class Shingles(grams.Bucket):
             by = np.argsort(doc, kind="stable")
             self.hashes, self.doc = np.concatenate([self.hashes, extra])[by], doc[by]
 
-    def weighted(self, answers: pa.Table, n_docs: int, groups: int):
-        """(document, shingle, weight) arrays, by document and then shingle."""
+    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, number of the shingle, how often) arrays, by document and then shingle; ``values`` has the shingles by number."""
         self.distinct()
-        df = np.ones(len(self.values), np.int64)
-        starts = grams.group_starts(self.values, groups)
-        for r, blob in zip(answers.column("r").to_pylist(), answers.column("df").to_pylist(), strict=True):
-            df[starts[r] : starts[r + 1]] = np.frombuffer(zlib.decompress(blob), np.uint32)
-        idf = 1 + np.log(max(1, n_docs) / df) / np.log(max(2, n_docs))
         column = np.empty(len(self.hashes), np.int64)
         column[self.order] = np.repeat(np.arange(len(self.values)), np.diff(np.append(self.firsts, len(self.order))))
         pair = np.sort(self.doc * len(self.values) + column) if len(column) else column
@@ -77,11 +73,30 @@ class Shingles(grams.Bucket):
         at = np.flatnonzero(new)
         tf = np.diff(np.append(at, len(pair)))
         doc, column = np.divmod(pair[at], max(1, len(self.values)))
-        return doc, self.values[column], (tf * idf[column]).astype(np.float32)
+        return doc, column, tf
+
+    def known(self, answers: pa.Table, groups: int) -> np.ndarray:
+        """Documents of the corpus that hold each of the shingles, by number, from what the index answers."""
+        df = np.ones(len(self.values), np.uint32)
+        starts = grams.group_starts(self.values, groups)
+        for r, blob in zip(answers.column("r").to_pylist(), answers.column("df").to_pylist(), strict=True):
+            df[starts[r] : starts[r + 1]] = np.frombuffer(zlib.decompress(blob), np.uint32)
+        return df
+
+
+def weights_of(tf: np.ndarray, df: np.ndarray, n_docs: int) -> np.ndarray:
+    """How often a shingle occurs, times 1 + ln(N/df) / ln(N)."""
+    return (tf * (1 + np.log(max(1, n_docs) / df) / np.log(max(2, n_docs)))).astype(np.float32)
+
+
+def _packed(df: np.ndarray) -> bytes:
+    """Counts of a document's shingles; empty where each is 1, as it is in most."""
+    return zlib.compress(df.tobytes(), 1) if (df != 1).any() else b""
 
 
 def _answer(table: pa.Table) -> pa.Table:
     """The number of documents of the whole corpus that hold each of a bucket's shingles, in the bucket's order."""
+    release()
     table, buckets, sizes, order, firsts, lengths, _, _ = grams.meet(table)
     held = np.concatenate([np.frombuffer(zlib.decompress(d), np.uint32) for d in table.column("docs").to_pylist()]).astype(np.int64)
     total = np.repeat(np.add.reduceat(held[order], firsts), lengths)
@@ -136,39 +151,46 @@ def _draw(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, hashes:
 
 
 def _sketch(n_docs: int, groups: int):
+    kinds = {"doc_id": pa.int64(), "same": pa.binary(), "keys": pa.list_(pa.int64()), "drawn": pa.binary(), "df": pa.binary()}
+
     def sketch(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        """Per document: its id, a hash of its text and one key a band."""
+        """Per document: its id, a hash of its text, one key a band, the samples, and the counts of its shingles."""
+        release()
         if docs.num_rows == 0:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.binary())], names=["doc_id", "same", "keys", "drawn"])
+            return pa.table({name: pa.array([], kind) for name, kind in kinds.items()})
         bucket = Shingles(docs, SHINGLE, lower=True)
-        doc, shingles, weights = bucket.weighted(answers, n_docs, groups)
-        rows, drawn = samples(doc, shingles, weights)
+        doc, column, tf = bucket.counted()
+        df = bucket.known(answers, groups)[column]
+        rows, drawn = samples(doc, bucket.values[column], weights_of(tf, df, n_docs))
         keys = np.zeros((len(rows), BANDS), np.uint64)
         for j in range(ROWS):
             keys = mix64(keys * GOLDEN + drawn[:, j::ROWS][:, :BANDS])
         same = [xxhash.xxh3_128_digest(bucket.texts[d].encode("utf-8", "surrogatepass")) for d in rows]
         ids = bucket.table.column("doc_id").take(pa.array(rows))
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()))
-        short = pa.array([x.tobytes() for x in (drawn & np.uint64(0xFFFFFFFF)).astype(np.uint32)], pa.binary())
-        return pa.table([ids, pa.array(same, pa.binary()), flat, short], names=["doc_id", "same", "keys", "drawn"])
+        short = [x.tobytes() for x in (drawn & np.uint64(0xFFFFFFFF)).astype(np.uint32)]
+        cuts = np.append(np.searchsorted(doc, rows), len(doc))
+        counts = [_packed(df[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table([ids, pa.array(same, pa.binary()), flat, pa.array(short, pa.binary()), pa.array(counts, pa.binary())], names=list(kinds))
 
     return sketch
 
 
-def _vectors(n_docs: int, groups: int):
-    def vectors(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        """The weighted shingles of the documents asked for, sorted, as two packed arrays; rows of one id have the same text."""
-        if docs.num_rows == 0:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=["doc_id", "shingles", "weights"])
-        bucket = Shingles(docs, SHINGLE, lower=True)
-        doc, shingles, weights = bucket.weighted(answers.filter(pc.is_valid(answers.column("r"))), n_docs, groups)
-        wanted = set(answers.column("wanted").drop_null().to_pylist())
-        cuts = np.searchsorted(doc, np.arange(len(bucket.texts) + 1))
-        rows: dict[int, list] = {}
-        for k, doc_id in enumerate(bucket.table.column("doc_id").to_pylist()):
-            if doc_id in wanted and cuts[k] < cuts[k + 1]:
-                rows.setdefault(doc_id, [shingles[cuts[k] : cuts[k + 1]], weights[cuts[k] : cuts[k + 1]]])
-        return pa.table([pa.array(list(rows), pa.int64()), pa.array([x[0].tobytes() for x in rows.values()], pa.binary()), pa.array([x[1].tobytes() for x in rows.values()], pa.binary())], names=["doc_id", "shingles", "weights"])
+def _vectors(n_docs: int):
+    def vectors(batches):
+        """The weighted shingles of documents, sorted, as two packed arrays."""
+        release()
+        for batch in (b.slice(i, j - i) for b in batches for i, j in portions(b.column("text").to_pylist())):
+            bucket = Shingles(pa.Table.from_batches([batch]), SHINGLE, lower=True)
+            doc, column, tf = bucket.counted()
+            shingles = bucket.values[column]
+            cuts = np.searchsorted(doc, np.arange(len(bucket.texts) + 1))
+            columns: list[list] = [[], []]
+            for blob, i, j in zip(bucket.table.column("df").to_pylist(), cuts[:-1], cuts[1:], strict=True):
+                df = np.frombuffer(zlib.decompress(blob), np.uint32) if blob else np.ones(j - i, np.uint32)
+                columns[0].append(shingles[i:j].tobytes())
+                columns[1].append(weights_of(tf[i:j], df, n_docs).tobytes())
+            yield pa.RecordBatch.from_arrays([bucket.table.column("doc_id").combine_chunks(), *(pa.array(c, pa.binary()) for c in columns)], names=["doc_id", "shingles", "weights"])
 
     return vectors
 
@@ -229,70 +251,76 @@ def _joins(threshold: float):
     return joins
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, shelf: Shelf) -> DataFrame:
     """doc_id, class_id (the smallest id) of each document with a link: labels fall along links and jump to their own label's label."""
-    edges = materialize(links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = materialize(edges.groupBy(F.col("u").alias("doc_id")).agg(F.least(F.min("v"), F.col("u")).alias("class_id")), "labels")
-    while True:
+    edges = shelf.put(links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    labels = shelf.put(edges.groupBy(F.col("u").alias("doc_id")).agg(F.least(F.min("v"), F.col("u")).alias("class_id"), F.lit(True).alias("changed")), "labels")
+    while not labels.where("changed").isEmpty():
         near = edges.join(labels, edges.v == labels.doc_id).groupBy(F.col("u").alias("doc_id")).agg(F.min("class_id").alias("near"))
         jump = labels.select(F.col("doc_id").alias("class_id"), F.col("class_id").alias("jump"))
-        fallen = labels.join(near, "doc_id").join(jump, "class_id").select("doc_id", F.least("near", "jump", "class_id").alias("new"), (F.least("near", "jump") < F.col("class_id")).alias("changed"))
-        fallen = materialize(fallen, "labels")
-        labels = fallen.select("doc_id", F.col("new").alias("class_id"))
-        if fallen.where("changed").isEmpty():
-            return labels
+        fallen = labels.drop("changed").join(near, "doc_id").join(jump, "class_id").select("doc_id", F.least("near", "jump", "class_id").alias("class_id"), (F.least("near", "jump") < F.col("class_id")).alias("changed"))
+        before, labels = labels, shelf.put(fallen, "labels")
+        shelf.drop(before)
+    shelf.drop(edges)
+    return labels
 
 
-def _classes(docs: DataFrame, threshold: float, bucket_bytes: int) -> DataFrame:
-    """doc_id and class_id of every row, where all rows of an id have the same text."""
-    some = docs.select("doc_id", "text")
+def _classes(docs: DataFrame, threshold: float, bucket_bytes: int, shelf: Shelf) -> DataFrame:
+    """doc_id and class_id (null where the document is alone) of the ids that have a class or a copy; an id is on one row."""
+    some = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     plan = grams.plan(some, bucket_bytes)
     dealt = some.withColumn("b", plan.bucket())
-    answers = materialize(grams.blobs(dealt, SHINGLE, plan.groups, lower=True, counts=True, bucket=Shingles).groupBy("r").applyInArrow(_answer, "b int, r int, df binary"), "df")
-    found = dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(_sketch(plan.docs, plan.groups), "doc_id long, same binary, keys array<long>, drawn binary")
-    sketches = materialize(found, "sketches")
+    answers = shelf.put(grams.blobs(dealt, SHINGLE, plan.groups, lower=True, counts=True, bucket=Shingles).groupBy("r").applyInArrow(_answer, "b int, r int, df binary"), "df")
+    found = dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(_sketch(plan.docs, plan.groups), "doc_id long, same binary, keys array<long>, drawn binary, df binary")
+    sketches = shelf.put(found, "sketches")
+    shelf.drop(answers)
     # equal texts are one candidate: the first of them stands for all
-    first = sketches.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    copies = materialize(sketches.select("doc_id", "same").join(first.where("n > 1"), "same").select("doc_id", "rep").distinct(), "copies")
-    reps = sketches.join(copies.where("doc_id <> rep").select("doc_id").distinct(), "doc_id", "left_anti")
-    keys = reps.select("doc_id", F.posexplode("keys").alias("band", "key")).distinct()
+    first = shelf.put(sketches.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "rep"), "first")
+    copies = shelf.put(sketches.select("doc_id", "same").join(first, "same").select("doc_id", "rep"), "copies")
+    reps = sketches.join(copies.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
+    keys = reps.select("doc_id", F.posexplode("keys").alias("band", "key"))
     met = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("main")).where("n > 1")
-    members = materialize(keys.join(met, ["band", "key"]).select(F.xxhash64("band", "key").alias("g"), "doc_id", "main"), "members")
-    wanted = members.select("doc_id").distinct().withColumn("b", plan.bucket())
-    asked = answers.select("b", "r", "df", F.lit(None).cast("long").alias("wanted")).unionByName(wanted.select("b", F.lit(None).cast("int").alias("r"), F.lit(None).cast("binary").alias("df"), F.col("doc_id").alias("wanted")))
-    vectors = materialize(dealt.groupBy("b").cogroup(asked.groupBy("b")).applyInArrow(_vectors(plan.docs, plan.groups), "doc_id long, shingles binary, weights binary"), "vectors")
+    members = shelf.put(keys.join(met, ["band", "key"]).select(F.xxhash64("band", "key").alias("g"), "doc_id", "main"), "members")
+    # of the texts only the candidates' are read again, with the counts that came with their sketches
+    wanted = sketches.select("doc_id", "df").join(members.select("doc_id").distinct(), "doc_id")
+    vectors = shelf.put(some.join(wanted, "doc_id").mapInArrow(_vectors(plan.docs), "doc_id long, shingles binary, weights binary"), "vectors")
 
     def verified(pairs: DataFrame) -> DataFrame:
         one = vectors.select(F.col("doc_id").alias("u"), F.col("shingles").alias("s1"), F.col("weights").alias("w1"))
         two = vectors.select(F.col("doc_id").alias("v"), F.col("shingles").alias("s2"), F.col("weights").alias("w2"))
         return pairs.join(one, "u").join(two, "v").mapInArrow(_verify(threshold), "u long, v long, similarity double")
 
-    links = materialize(verified(members.where("doc_id <> main").select(F.col("doc_id").alias("u"), F.col("main").alias("v")).distinct()), "links")
-    classes = components(links)
-    named = materialize(members.select("g", "doc_id").join(classes, "doc_id", "left").select("g", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id")), "named")
+    links = shelf.put(verified(members.where("doc_id <> main").select(F.col("doc_id").alias("u"), F.col("main").alias("v")).distinct()), "links")
+    classes = components(links, shelf)
+    named = shelf.put(members.select("g", "doc_id").join(classes.select("doc_id", "class_id"), "doc_id", "left").select("g", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id")), "named")
+    shelf.drop(members)
     sizes = named.groupBy("g", "class_id").agg(F.count(F.lit(1)).alias("n"))
     open_ = sizes.groupBy("g").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class_id")).alias("top")).where("top.n < n")
     open_ = open_.select("g", F.col("top.class_id").alias("most"), F.ceil((F.col("n") - F.col("top.n")) / LEFT).cast("int").alias("lefts"), F.ceil(F.col("n") / RIGHT).cast("int").alias("rights"))
-    some = materialize(named.join(open_, "g"), "open")
-    n_tasks = max(1, some.count() // TASK_ROWS)
+    rest = shelf.put(named.join(open_, "g"), "open")
+    n_tasks = max(1, rest.count() // TASK_ROWS)
     part = lambda seed, n: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = some.where("class_id <> most").withColumn("i", part(1, "lefts")).withColumn("j", each("rights"))
-    right = some.withColumn("j", part(2, "rights")).withColumn("i", each("lefts"))
+    left = rest.where("class_id <> most").withColumn("i", part(1, "lefts")).withColumn("j", each("rights"))
+    right = rest.withColumn("j", part(2, "rights")).withColumn("i", each("lefts"))
 
     def cells(side: DataFrame) -> DataFrame:
         side = side.select("doc_id", "class_id", F.concat_ws(" ", "g", "i", "j").alias("cell"))
-        side = side.join(vectors, "doc_id").join(sketches.select("doc_id", "drawn").dropDuplicates(["doc_id"]), "doc_id")
+        side = side.join(vectors, "doc_id").join(sketches.select("doc_id", "drawn"), "doc_id")
         # a cell of a large group is a task's work alone; those of small groups share one
         own = [F.col(c).alias(c) for c in ("doc_id", "class_id", "cell", "shingles", "weights", "drawn")]  # so that the sides share no column
         return side.select(*own, F.pmod(F.xxhash64("cell"), F.lit(n_tasks)).alias("task"))
 
     more = cells(left).groupBy("task").cogroup(cells(right).groupBy("task")).applyInArrow(_joins(threshold), "u long, v long, similarity double")
-    more = materialize(more, "links")
+    more = shelf.put(more, "links")
     if not more.isEmpty():
-        classes = components(links.unionByName(more))
-    through = docs.select("doc_id").join(copies.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    return through.join(classes.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"))
+        classes = components(links.unionByName(more), shelf)
+    labels = classes.select(F.col("doc_id").alias("rep"), "class_id")
+    through = copies.join(labels, "rep", "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"))
+    alone = labels.join(copies.select("rep").distinct(), "rep", "left_anti").select(F.col("rep").alias("doc_id"), "class_id")
+    out = shelf.put(through.unionByName(alone), "classes")
+    shelf.keep(out)
+    return out
 
 
 def _repeated(docs: DataFrame) -> tuple[bool, bool]:
@@ -308,24 +336,30 @@ def _node():
     return F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text", F.col("text").isNull()))
 
 
-def _text_classes(docs: DataFrame, threshold: float, bucket_bytes: int) -> DataFrame:
+def _text_classes(docs: DataFrame, threshold: float, bucket_bytes: int, shelf: Shelf) -> DataFrame:
     """doc_id, node, same: each text of each id, judged by itself, and its class among the nodes."""
-    nodes = docs.select("doc_id", _node().alias("node"), "text")
-    found = _classes(nodes.select(F.col("node").alias("doc_id"), "text"), threshold, bucket_bytes).where("doc_id is not null").distinct()
-    return materialize(nodes.where("node is not null").select("doc_id", "node").distinct().join(found.select(F.col("doc_id").alias("node"), F.col("class_id").alias("same")), "node").select("doc_id", "node", "same"), "texts")
+    nodes = docs.select("doc_id", _node().alias("node"), "text").where("node is not null").dropDuplicates(["node"])
+    found = _classes(nodes.select(F.col("node").alias("doc_id"), "text"), threshold, bucket_bytes, shelf)
+    out = shelf.put(nodes.select("doc_id", "node").join(found.select(F.col("doc_id").alias("node"), F.col("class_id").alias("same")), "node", "left").select("doc_id", "node", F.coalesce("same", "node").alias("same")), "texts")
+    shelf.keep(out)
+    return out
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bucket_bytes: int = grams.BUCKET_BYTES) -> DataFrame:
     """doc_id and class_id of every document: the smallest id of its near and exact copies."""
-    if not _repeated(docs)[1]:
-        return _classes(docs, threshold, bucket_bytes)
-    texts = _text_classes(docs, threshold, bucket_bytes)
+    shelf = Shelf(docs.sparkSession, "near-duplicates")
+    rows, texts = _repeated(docs)
+    ids = docs.select("doc_id")
+    if not texts:
+        one = docs.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"]) if rows else docs
+        return ids.join(_classes(one, threshold, bucket_bytes, shelf), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    found = _text_classes(docs, threshold, bucket_bytes, shelf)
     # an id joins the classes of its texts
-    least = texts.groupBy("doc_id").agg(F.min("same").alias("v"))
-    labels = components(texts.select("doc_id", F.col("same").alias("u")).join(least, "doc_id").where("u <> v").select("u", "v"))
+    least = found.groupBy("doc_id").agg(F.min("same").alias("v"))
+    labels = components(found.select("doc_id", F.col("same").alias("u")).join(least, "doc_id").where("u <> v").select("u", "v"), shelf)
     joined = least.join(labels.select(F.col("doc_id").alias("v"), F.col("class_id").alias("label")), "v", "left").select("doc_id", F.coalesce("label", "v").alias("label"))
     named = joined.join(joined.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label").select("doc_id", "class_id")
-    return docs.select("doc_id").join(named, "doc_id", "left")
+    return ids.join(named, "doc_id", "left")
 
 
 def one_of_each(docs: DataFrame, threshold: float = SIMILARITY, bucket_bytes: int = grams.BUCKET_BYTES) -> DataFrame:
@@ -335,13 +369,16 @@ def one_of_each(docs: DataFrame, threshold: float = SIMILARITY, bucket_bytes: in
     one with the smallest id (then number of id and text). Of rows with the same id and text the one with the
     smallest hash of all columns stays.
     """
+    shelf = Shelf(docs.sparkSession, "one-of-each")
     rows, texts = _repeated(docs)
     if texts:
-        found = _text_classes(docs, threshold, bucket_bytes)
-        first = found.groupBy("same").agg(F.min(F.struct("doc_id", "node")).alias("first")).select(F.col("first.node").alias("__node"))
-        kept = docs.withColumn("__node", _node()).join(first, "__node", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+        found = _text_classes(docs, threshold, bucket_bytes, shelf)
+        first = found.groupBy("same").agg(F.min(F.struct("doc_id", "node")).alias("first")).select(F.col("first.node").alias("node"))
+        mark = own_name(docs, "node")
+        kept = docs.withColumn(mark, _node()).join(first.withColumnRenamed("node", mark), mark, "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
     else:
-        gone = _classes(docs, threshold, bucket_bytes).where("doc_id <> class_id").select("doc_id").distinct()
+        one = docs.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"]) if rows else docs
+        gone = _classes(one, threshold, bucket_bytes, shelf).where("doc_id <> class_id").select("doc_id")
         kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if not rows:
         return kept
