@@ -10,6 +10,7 @@ each distinct n-gram of a bucket, and answers about those that other buckets sha
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesselake.llm.common import WordIds, flat_words, gram_hashes, gram_places
+from tesselake.llm.common import WordIds, flat_words, gram_hashes, gram_places, release
 
 #: Text bytes of a bucket and n-grams of an index group: what one task holds at a time.
 BUCKET_BYTES, GROUP_GRAMS = 6 << 20, 1 << 21
@@ -27,36 +28,41 @@ QUANTILES = 512
 
 @dataclass
 class Plan:
+    """``edges``: ids at which the intervals of buckets start, rising; ``last``: the last id; ``parts``: buckets of each interval; ``heavy``: buckets
+    in front of each interval that the rows of its first id alone are dealt to, if that id has more than a bucket holds."""
+
     docs: int
     buckets: int
     groups: int
     edges: list[int]
+    last: int
     parts: int
+    heavy: list[int]
 
-    def bucket(self, col: str = "doc_id") -> Column:
-        """Bucket number, not falling as the id grows; null ids are in bucket 0."""
-        inner = self.edges[1:-1]
-        q = F.expr(f"size(filter(array({', '.join(f'{x}L' for x in inner)}), x -> x <= {col}))") if inner else F.lit(0)
-        if self.parts == 1:
-            out = q
-        else:
-            edges = F.expr(f"array({', '.join(f'{x}L' for x in self.edges)})")
-            low, high = F.element_at(edges, q + 1), F.element_at(edges, q + 2)
-            share = (F.col(col) - low) / F.greatest(high - low, F.lit(1))
-            out = q * self.parts + F.least(F.lit(self.parts - 1), F.greatest(F.lit(0), F.floor(share * self.parts).cast("int")))
-        return F.when(F.col(col).isNull(), 0).otherwise(out).cast("int").alias("b")
+    def bucket(self, col: str = "doc_id", text: str = "text") -> Column:
+        """Bucket number, not falling as the id grows; rows without an id, and those of one heavy id, are dealt by their text."""
+        x, by_text = F.col(col), F.pmod(F.xxhash64(text), F.lit(1 << 30))
+        number = lambda values: F.array(*(F.lit(v) for v in values))
+        at = F.greatest(F.size(F.filter(number(self.edges), lambda e: e <= x)), F.lit(1))  # no id is below all edges, as they are ids
+        first = F.element_at(number([sum(self.heavy[:k]) + k * self.parts for k in range(len(self.edges))]), at)
+        low, heavy = F.element_at(number(self.edges), at), F.element_at(number(self.heavy), at)
+        start, end = F.element_at(number(map(float, self.edges)), at), F.element_at(number([*map(float, self.edges[1:]), self.last + 1.0]), at)
+        share = F.least(F.lit(self.parts - 1.0), F.floor((x.cast("double") - start) / F.greatest(end - start, F.lit(1.0)) * self.parts)).cast("int")
+        dealt = F.when((heavy > 0) & (x == low), F.pmod(by_text, F.greatest(heavy, F.lit(1)))).otherwise(heavy + F.greatest(F.lit(0), share))
+        return F.when(x.isNull(), F.pmod(by_text, F.lit(self.buckets))).otherwise(first + dealt).cast("int").alias("b")
 
 
 def plan(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, group_grams: int = GROUP_GRAMS) -> Plan:
-    """Sizes the index by one aggregation over ids and lengths."""
+    """Sizes the index by one aggregation over ids and lengths. An id that fills several quantiles is a heavy one."""
     at = [i / QUANTILES for i in range(QUANTILES + 1)]
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size"), F.percentile_approx("doc_id", at, 10 * QUANTILES).alias("edges")).first()
     wanted = max(1, -(-row["size"] // bucket_bytes))
-    parts = -(-wanted // QUANTILES)
-    step = max(1, QUANTILES // wanted)
-    edges = sorted(set((row["edges"] or [0, 0])[::step]) | {(row["edges"] or [0, 0])[-1]})
-    edges = edges if len(edges) > 1 else [edges[0], edges[0] + 1]
-    return Plan(row["n"], (len(edges) - 1) * parts, max(1, -(-row["size"] // 6 // group_grams)), edges, parts)
+    parts, step = -(-wanted // QUANTILES), max(1, QUANTILES // wanted)
+    seen = Counter(row["edges"] or [0])
+    heavy = {e: -(-n * wanted // QUANTILES) for e, n in seen.items() if n > 1 and n * wanted >= 2 * QUANTILES}
+    edges = sorted({*sorted(seen)[::step], *heavy})
+    extra = [heavy.get(e, 0) for e in edges]
+    return Plan(row["n"], len(edges) * parts + sum(extra), max(1, -(-row["size"] // 6 // group_grams)), edges, max(seen), parts, extra)
 
 
 class Bucket:
@@ -131,6 +137,7 @@ def blobs(docs: DataFrame, n: int, groups: int, lower: bool = False, counts: boo
     """One row for each bucket and group: the bucket's distinct n-grams, and how many documents hold each."""
 
     def pack_bucket(table: pa.Table) -> pa.Table:
+        release()
         held_by = bucket(table, n, lower)
         held_by.distinct()
         starts = group_starts(held_by.values, groups)

@@ -1,16 +1,20 @@
 """Substring deduplication by suffix automata of reference shards.
 
-A document's words go where a window of WINDOW words also starts in an earlier document. The window index
-of :mod:`tesselake.llm.grams` finds, for each window that several buckets of documents share, the bucket
-of its first document; that bucket sends the passages (each once) to the buckets that repeat them. A
-bucket builds one suffix automaton of the passages it was sent and of those its own documents repeat,
-with the earliest document of each state, and streams its documents through it: matching statistics of
-the window's length or more, in an earlier document, mark the maximal spans that are removed. So each
-automaton holds just the references its bucket can match, whatever the corpus holds.
+A document's words go where a window of WINDOW words also starts in an earlier document. Reference shards can't
+be broadcast within a bound that holds for any corpus, so the index and the automata share the work like this.
+The window index of :mod:`tesselake.llm.grams` (64-bit hashes) decides which passages can be references at all: for
+each window that several buckets of documents share it finds the bucket of its first document, and that bucket
+sends the passages (each once, with its document's id) to the buckets that repeat them. The automaton decides what
+goes: a bucket builds one suffix automaton of the passages it was sent and of those its own documents repeat,
+with the earliest document of each state, and streams the runs of words that hold a known window through it;
+matching statistics of the window's length or more, in an earlier document, mark the maximal spans that are removed.
+So each automaton holds just the references that its bucket can match, whatever the corpus holds.
 
 Defined cases: a null or empty text has no words and stays null or empty; documents without an id are
 kept whole and are no reference; rows with the same id are one another's equals, so neither removes from
-the other; a text may be of any length; an empty table gives an empty result; other columns are carried along.
+the other, and many rows of one id are dealt to several buckets by their texts; a text may be of any length; an empty
+table gives an empty result; other columns, whatever their names, are carried along, but ``remove_repeats`` puts its
+own n_words and n_removed in place of columns of these names.
 """
 
 from __future__ import annotations
@@ -21,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesselake.llm import grams
-from tesselake.llm.common import flat_words, gram_hashes, gram_places
+from tesselake.llm.common import gram_hashes, own_name, release
 
 WINDOW = 13
 
@@ -32,8 +37,8 @@ class ReferenceAutomaton:
     """A suffix automaton over words that knows the earliest document of every substring."""
 
     def __init__(self, passages):
-        """passages: (word ids, document rank) pairs; ranks grow with document ids."""
-        self.moves, self.link, self.length, self.first = [{}], [-1], [0], [1 << 60]
+        """passages: (word ids, document id) pairs."""
+        self.moves, self.link, self.length, self.first = [{}], [-1], [0], [1 << 63]
         for words, rank in passages:
             last = 0
             for w in words:
@@ -106,6 +111,7 @@ class ReferenceAutomaton:
 
 def _owners(window_buckets: pa.Table) -> pa.Table:
     """Tells the first bucket of each shared window which others repeat it."""
+    release()
     table, buckets, sizes, order, firsts, lengths, owner, place = grams.meet(window_buckets)
     shared = lengths > 1
     start, more = firsts[shared], lengths[shared] - 1
@@ -126,7 +132,8 @@ def _owners(window_buckets: pa.Table) -> pa.Table:
 
 def _send(window: int, groups: int):
     def send(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        """The passages that other buckets repeat, one row for each of those buckets."""
+        """The passages that other buckets repeat, each after its document's id, one row for each of those buckets."""
+        release()
         out: dict[int, list[bytes]] = {}
         if docs.num_rows and asked.num_rows:
             bucket = grams.Bucket(docs, window)
@@ -139,10 +146,11 @@ def _send(window: int, groups: int):
             at, dest = at[by], dest[by]
             breaks = np.flatnonzero(np.append(True, (dest[1:] != dest[:-1]) | (at[1:] != at[:-1] + 1)))
             ends = np.append(breaks[1:], len(at)) - 1
-            names = list(bucket.ids)
+            names, ids = list(bucket.ids), bucket.table.column("doc_id").to_pylist()
             for i, j in zip(breaks, ends, strict=True):
                 words = bucket.words[at[i] : at[j] + window].tolist()
-                out.setdefault(int(dest[i]), []).append(b" ".join([names[w] for w in words]))
+                owner = ids[np.searchsorted(bucket.starts, at[i], side="right") - 1]
+                out.setdefault(int(dest[i]), []).append(b"%d " % owner + b" ".join([names[w] for w in words]))
         return pa.table([pa.array(list(out), pa.int32()), pa.array([b"\n".join(x) for x in out.values()], pa.binary())], names=["b", "passages"])
 
     return send
@@ -156,13 +164,9 @@ def _runs(places: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(places[np.append(0, cut + 1)].tolist(), places[np.append(cut, len(places) - 1)].tolist(), strict=True))
 
 
-def removed_words(bucket: grams.Bucket, passages: list[list[bytes]], window: int) -> np.ndarray:
-    """Marks the words of a bucket to remove: the automaton's matches among the windows that can match."""
-    n_docs = len(bucket.texts)
-    rank_of = np.zeros(n_docs, np.int64)  # rows with one id share a rank
-    ids = bucket.table.column("doc_id").to_pylist()
-    for i in range(1, n_docs):
-        rank_of[i] = rank_of[i - 1] + (ids[i] != ids[i - 1])
+def removed_words(bucket: grams.Bucket, passages: list[list[bytes]], owners: list[int], window: int) -> np.ndarray:
+    """Marks the words of a bucket to remove: the automaton's matches among the windows that can match; ids are ranks."""
+    rank_of = bucket.table.column("doc_id").fill_null(0).to_numpy()  # those without an id have no windows
     sent = [np.fromiter(map(bucket.ids.__getitem__, p), np.int64, len(p)) for p in passages]
     hashes = np.array(bucket.ids.hashes, np.uint64)
     bucket.distinct()
@@ -177,14 +181,14 @@ def removed_words(bucket: grams.Bucket, passages: list[list[bytes]], window: int
         return gone
     rank = rank_of[bucket.doc[bucket.order]]
     lowest, highest = rank[bucket.firsts], np.maximum.reduceat(rank, bucket.firsts)
-    inside = ~known & (lowest != highest)
+    inside = lowest != highest
     # the passages that the bucket's own documents repeat, from the first of them
     references = [(bucket.words[i : j + window].tolist(), int(rank_of[np.searchsorted(bucket.starts, i, side="right") - 1])) for i, j in _runs(np.sort(bucket.places[bucket.order[bucket.firsts[inside]]]))]
     maybe = np.zeros(len(bucket.hashes), bool)
     maybe[bucket.order] = np.repeat(known | inside, np.diff(np.append(bucket.firsts, len(bucket.order))))
     if not maybe.any():
         return gone
-    automaton = ReferenceAutomaton([(s.tolist(), -1) for s in sent] + references)
+    automaton = ReferenceAutomaton([*((s.tolist(), owner) for s, owner in zip(sent, owners, strict=True)), *references])
     for i, j in _runs(bucket.places[maybe]):
         doc = int(np.searchsorted(bucket.starts, i, side="right") - 1)
         ends = automaton.matches(bucket.words[i : j + window].tolist(), window, int(rank_of[doc]))
@@ -195,9 +199,11 @@ def removed_words(bucket: grams.Bucket, passages: list[list[bytes]], window: int
 
 def _remove(window: int, names: list[str]):
     def remove(docs: pa.Table, sent: pa.Table) -> pa.Table:
+        release()
+        *given, _ = docs.column_names  # the user's columns under working names, then the bucket
         bucket = grams.Bucket(docs, window)
         passages = [p.split(b" ") for row in sent.column("passages").to_pylist() for p in row.split(b"\n")]
-        gone = removed_words(bucket, passages, window)
+        gone = removed_words(bucket, [p[1:] for p in passages], [int(p[0]) for p in passages], window)
         texts, n_words, n_removed = [], [], []
         by_id = list(bucket.ids)
         for k, text in enumerate(bucket.texts):
@@ -209,23 +215,28 @@ def _remove(window: int, names: list[str]):
                 kept = bucket.words[bucket.starts[k] : bucket.starts[k + 1]][~here].tolist()
                 text = b" ".join([by_id[w] for w in kept]).decode("utf-8", "surrogatepass")
             texts.append(text)
-        table = bucket.table.drop_columns(["b"])
-        table = table.set_column(table.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-        return table.append_column("n_words", pa.array(n_words, pa.int64())).append_column("n_removed", pa.array(n_removed, pa.int64())).select(names)
+        kinds = {"text": pa.array(texts, pa.string())}
+        columns = [kinds.get(c, bucket.table.column(c)) for c in given]
+        return pa.table([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=names)
 
     return remove
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = grams.BUCKET_BYTES) -> DataFrame:
     """All columns of docs with the kept text (unchanged where nothing was removed), n_words and n_removed."""
-    columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "b")]
-    docs = docs.select(*columns)
-    plan = grams.plan(docs, bucket_bytes)
-    dealt = docs.withColumn("b", plan.bucket())
-    asked = grams.blobs(dealt, window, plan.groups).groupBy("r").applyInArrow(_owners, "b int, r int, place binary, dest binary")
-    sent = dealt.groupBy("b").cogroup(asked.groupBy("b")).applyInArrow(_send(window, plan.groups), "b int, passages binary")
-    schema = docs.schema.add("n_words", "long").add("n_removed", "long")
-    return dealt.groupBy("b").cogroup(sent.groupBy("b")).applyInArrow(_remove(window, schema.names), schema)
+    docs = docs.select(*(c for c in docs.columns if c not in ("n_words", "n_removed")))
+    given = docs.schema
+    # working names, so that no column of the user's clashes with one of the steps'
+    some = docs.toDF(*(c if c in ("doc_id", "text") else f"user{k}" for k, c in enumerate(docs.columns)))
+    plan = grams.plan(some, bucket_bytes)
+    dealt = some.withColumn("b", plan.bucket())
+    texts = dealt.select("doc_id", "text", "b")
+    asked = grams.blobs(texts, window, plan.groups).groupBy("r").applyInArrow(_owners, "b int, r int, place binary, dest binary")
+    sent = texts.groupBy("b").cogroup(asked.groupBy("b")).applyInArrow(_send(window, plan.groups), "b int, passages binary")
+    names = [*some.columns, "n_words", "n_removed"]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(some.columns, given.fields, strict=True)]).add("n_words", "long").add("n_removed", "long")
+    out = dealt.groupBy("b").cogroup(sent.groupBy("b")).applyInArrow(_remove(window, names), schema)
+    return out.toDF(*given.names, "n_words", "n_removed")
 
 
 def kept_words(text: str = "text"):
@@ -235,6 +246,7 @@ def kept_words(text: str = "text"):
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The columns of docs with the kept text, and its length in n_chars where there is such a column."""
-    out = remove_repeats(docs, window).select(*docs.columns)
+    """The columns of docs, whatever their names, with the kept text, and its length in n_chars where there is such a column."""
+    names = [own_name(docs, f"kept_{c}") if c in ("n_words", "n_removed") else c for c in docs.columns]
+    out = remove_repeats(docs.toDF(*names), window).select(*names).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
