@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from tesselake.llm.common import shared_dir, table
 
@@ -59,7 +59,7 @@ def op6_byte_bpe(spark, sf_dir):
 def op7_sharding(spark, sf_dir):
     from tesselake.llm import sharding
 
-    return sharding.shard_documents(table(spark, sf_dir, "documents"), store=f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}")
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), store=f"{shared_dir(spark)}/slot-maps/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}")
 
 
 def op8_main_text(spark, sf_dir):
