@@ -23,7 +23,7 @@ def test_language(spark):
     assert [r["doc_id"] for r in langid.identified(odd, samples).collect()] == [4]
 
 
-def test_automaton_counts_phrases():
+def test_automaton_counts_phrases(monkeypatch):
     a = langid.SuffixAutomaton(["^banana$", "^ban$"])
     subs = {w[i:j] for w in ("^banana$", "^ban$") for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
 
@@ -34,8 +34,36 @@ def test_automaton_counts_phrases():
             word, n = word[k:], n + 1
         return n
 
-    for w in ("^ban$", "^nanaban$", "xx", "^xban", "", "anab", "$^"):
-        assert a.phrases(w) == brute(w)
+    words = ["^ban$", "^nanaban$", "xx", "^xban", "", "anab", "$^", "語na𝒳"]
+    for widest in (2, 120):
+        monkeypatch.setattr(langid, "WIDEST", widest)
+        assert langid.Parser(a).phrases(words).tolist() == [a.phrases(w) for w in words] == [brute(w) for w in words]
+
+
+def test_language_equals_brute_force(spark):
+    """Whole predictions against phrases found by looking at every substring."""
+    samples = {"a": ["banana", "bandana", "cab"], "b": ["dodo", "ode", "bode", "code"], "c": ["cab", "ode"]}
+    bits = {x: np.log2(2 + sum(len(w) + 2 for w in words)) for x, words in samples.items()}
+
+    def needs(lang, word):
+        n, word = 0, f"^{word}$"
+        while word:
+            word = word[max((k for k in range(1, len(word) + 1) if any(word[:k] in f"^{w}$" for w in samples[lang])), default=1) :]
+            n += 1
+        return n * bits[lang]
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(rng.choice(list("abcdenox"), rng.integers(1, 9))) for _ in range(rng.integers(1, 7))) for _ in range(80)] + ["banana", "a.ode-Cab!", "same same", "7 8", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang_pred", F.lit("clash"))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, samples).collect()}
+    for k, text in enumerate(texts):
+        words = langid._LETTERS.findall((text or "").lower())
+        assert got[k] == (min(sorted(samples), key=lambda x: round(sum(needs(x, w) for w in words), 6)) if words else "und")
+    assert langid.identify(docs.limit(0), samples).count() == langid.identified(docs.limit(0), samples).count() == 0
+    # a language with little labelled text isn't left behind, nor ahead
+    assert {r["lang_pred"] for r in langid.identify(spark.createDataFrame([(1, "dodo code ode bode")], "doc_id long, text string"), {"b": samples["b"], "z": ["x"]}).collect()} == {"b"}
+    # ties go to the name that sorts first
+    assert [r["lang_pred"] for r in langid.identify(spark.createDataFrame([(1, "ab")] * 2, "doc_id long, text string"), {"n": ["ab"], "m": ["ab"]}).collect()] == ["m", "m"]
 
 
 def test_toxicity(spark):
@@ -71,13 +99,49 @@ def labelled(n_toxic, n_clean, rare):
 
 def test_rare_marks_and_few_labels_count():
     texts, y, words = labelled(300, 300, 12)  # one toxic text in 25 has the rare mark alone
-    model = toxicity.fit_layers(texts, np.array(y), 7)
-    assert model.word("idiot") > model.word("wretch") > max(map(model.word, words))
-    texts, y, words = labelled(8, 35, 0)
     model = toxicity.train(texts, y)
-    scorer = toxicity.Scorer(model)
+    logit = lambda some: model.figures(some)[:, 0] / model.figures(some)[:, 1]
+    assert logit(["idiot"]) > logit(["wretch"]) > logit(words).max()
+    texts, y, words = labelled(8, 35, 0)
+    scorer = toxicity.Scorer(toxicity.train(texts, y))
     clean = " ".join(words[:30])
-    assert scorer.score(clean + " idiot") > scorer.score(clean)
+    assert np.diff(scorer.scores([clean, clean + " idiot"])) > 0
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Scores against the definition: n-grams one by one, every window, a softmax over two logits."""
+    rng = np.random.default_rng(2)
+    texts, y, _ = labelled(40, 60, 4)
+    model = toxicity.train(texts, y)
+    base = 0x9DDFEA08EB382D69
+
+    def mix(x):
+        return int(common.mix64(np.array([x % 2**64], np.uint64))[0])
+
+    def bag(token):
+        out = []
+        for word in toxicity._WORD.findall(token.lower()):
+            codes = [ord(c) for c in f"<{word}>"]
+            out.append(mix(sum(mix(c * base + k) for k, c in enumerate(codes))))
+            for n in range(toxicity.SHORTEST, toxicity.LONGEST + 1):
+                for i in range(len(codes) - n + 1):
+                    h = 0
+                    for c in codes[i : i + n]:
+                        h = (h * base + c) % 2**64
+                    out.append(mix(h + n * int(common.GOLDEN)))
+        return [h % toxicity.BUCKETS for h in out]
+
+    def score(text):
+        bags = [b for b in map(bag, (text or "").split()) if b]
+        windows = [sum(bags[i : i + toxicity.WINDOW], []) for i in range(max(1, len(bags) - toxicity.WINDOW + 1))] if bags else []
+        return max((1 / (1 + np.exp(-(np.mean(model.logit[w].astype(float)) + model.bias))) for w in windows), default=0.0)
+
+    docs = [*texts[::9], None, "", "12 !!", "Idiot-moron x", " ".join(rng.permutation(" ".join(texts[:6]).split())), "a b " * 300 + "idiot"]
+    docs += docs[:2]  # repeated rows
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("held_out", F.lit(1))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(table, model).collect()}
+    assert [got[k] for k in range(len(docs))] == pytest.approx([score(t) for t in docs], abs=1e-5)
+    assert toxicity.score_toxicity(table.limit(0), model).count() == 0
 
 
 def exact(ids, x, q, k):
@@ -93,7 +157,7 @@ def test_neighbours(spark):
     odd = [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [None] * 16), (5004, [1.0] * 3), (5005, [float("inf")] + [1.0] * 15)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
     got = {}
-    for r in neighbours.nearest(df, df.where("vec_id % 50 = 0"), k=10, block_rows=700, query_rows=25).collect():
+    for r in neighbours.nearest(df, df.where("vec_id % 50 = 0"), k=10, block_rows=700).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     ids = np.arange(3000)
     assert sorted(got) == list(range(0, 3000, 50))
@@ -109,6 +173,42 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == neighbours.nearest(df, df.limit(0)).count() == 0
 
 
+def test_the_stopping_test_stops():
+    """On vectors in clusters most leaves are never visited, and few neighbours are missed."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 64))[rng.integers(0, 40, 8192)] + 0.35 * rng.normal(size=(8192, 64))
+    ids = np.arange(len(x))
+    block = neighbours.Block(ids, x, float((x**2).sum(axis=1).max()), neighbours.projection_for(64))
+    found: dict = {}
+    for q, i, _ in block.answers(ids[::80], x[::80], 20):
+        found.setdefault(q, set()).add(i)
+    recall = np.mean([len(found[q] & {j for _, j in exact(ids, x, q, 20)}) / 20 for q in found])
+    assert recall >= 0.95 and block.visited < 0.45 * block.could
+
+
+def test_queries_are_routed(spark):
+    """Cells that are too far get no query; copies that fill a cell are dealt to several blocks; ids may repeat."""
+    rng = np.random.default_rng(4)
+    x = 4 * rng.normal(size=(12, 16))[rng.integers(0, 12, 2000)] + 0.3 * rng.normal(size=(2000, 16))
+    x[::3] = x[5]
+    rows = [(i % 1990, [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("clash")).withColumn("cell", F.lit(1))
+    got: dict = {}
+    for r in neighbours.nearest(df, df.where("vec_id % 100 in (0, 1)"), k=5, block_rows=150).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    hits = 0
+    for q, found in got.items():
+        mine = min((v for i, v in rows if i == q))
+        best: dict = {}
+        for i, v in rows:
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), float(np.dot(v, mine)))
+        want = sorted((-round(s, 9), i) for i, s in best.items())[:5]
+        assert found == sorted(found) and len({i for _, i in found}) == len(found) == 5
+        hits += len({i for _, i in want} & {i for _, i in found})
+    assert len(got) == 40 and hits >= 0.9 * 5 * 40
+
+
 def test_chi_square():
     assert common.chi2_quantile(0.95, 6) == pytest.approx(12.5916, abs=1e-3) and common.chi2_quantile(0.5, 2) == pytest.approx(1.3863, abs=1e-3)
 
@@ -130,17 +230,29 @@ def test_sharding(spark):
 
 def test_rebalancing_moves_little(spark, tmp_path):
     docs = spark.createDataFrame([(i, "x" * (i * 37 % 900)) for i in range(3000)], "doc_id long, text string")
-    by_slot = sharding.slot_bytes(sharding.with_size(docs, 512)).cache()
-    old = sharding.first_map(by_slot, 8).cache()
-    new = sharding.rebalanced(old, by_slot, 9, 2)
-    sharding.save_map(old, str(tmp_path / "map"))
-    sharding.save_map(new, str(tmp_path / "map"))
-    new = sharding.load_map(spark, str(tmp_path / "map"), 2).cache()
+    by_slot = sharding.slot_bytes(sharding.with_slot(sharding.with_size(docs), 8, 512)).cache()
+    store = str(tmp_path / "map")
+    old = sharding.current_map(by_slot, 8, store).cache()
+    assert {r["version"] for r in sharding.current_map(by_slot, 8, store).collect()} == {1}  # even, so it stays
+    new = sharding.current_map(by_slot, 9, store).cache()
+    assert {r["version"] for r in new.collect()} == {2} and sharding.last_version(spark, store) == 2
     moved = new.join(old.select("vslot", F.col("shard").alias("was")), "vslot").join(by_slot, "vslot").where("shard <> was").agg(F.sum("bytes")).first()[0]
     loads = [r[0] for r in new.join(by_slot, "vslot").groupBy("shard").agg(F.sum("bytes")).select("sum(bytes)").collect()]
     assert len(loads) == 9 and max(loads) < 1.1 * min(loads) and moved < 1.3 * sum(loads) / 9
 
 
+def test_equal_texts_share_a_shard_unless_too_heavy(spark):
+    rows = [(i, f"text {i % 400} " + "y" * (i % 400)) for i in range(2000)] + [(10_000 + i, "hot " * 60) for i in range(1500)] + [(7, "again " * 40)] * 600
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text, shards, load = dict(rows), {}, {}
+    for r in got:
+        shards.setdefault(r["text_crc32"], set()).add(r["shard"])
+        load[r["shard"]] = load.get(r["shard"], 0) + r["size"]
+    assert all(len(shards[zlib.crc32(text[i].encode())]) == 1 for i in range(400) if i != 7)
+    assert len(shards[zlib.crc32(text[10_000].encode())]) == 16 and len(shards[zlib.crc32(text[7].encode())]) > 4
+    assert max(load.values()) < 1.05 * min(load.values())
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a href=x>Menu</a></nav>
 <div class="cookie-notice">We use cookies</div><article><h1>Head &amp; tail</h1><p>One <b>bold</b>  word<br>and more<p>Two &lt;b&gt;</p>
 <script>var t="</p>";</script><div class="ad">Buy</div><ul><li>x</li><li>y</ul><form>Ask</form></article><section id="comments"><p>First!</p></section><footer>&copy; me</footer></body></html>"""
@@ -184,3 +296,46 @@ def test_deep_pages():
     assert html.extract(f"<body>{deep}<p>Text.</p></body>", frozenset()) == "Text."
     assert html.extract(f"<body><div><article><p>One.</p>{deep}<p>Two.</p></article></div></body>", frozenset()) == "One.\n\nTwo."
     assert html.extract("<b>x" * 50_000 + "</i>" * 50_000, frozenset()) == "x" * 50_000
+
+
+def test_the_template_finds_the_article(spark):
+    """Nothing on these pages says which part is the article but what the host's pages have in common."""
+    page = "<html><body><div class=a><a href=1>m{0}</a> <a href=2>n{0}</a></div><div class=b><div class=x><p>{1}</p><p>Always the same.</p><p>{2}</p></div><div class=y>Short {0}.</div></div><div class=c>Made on day {0}.</div></body></html>"
+    pages = [("t.org", page.format(k, f"Long text number {k} with many words in it.", f"And more of them, {k * 7}.")) for k in range(5)]
+    want = [f"Long text number {k} with many words in it.\n\nAnd more of them, {k * 7}." for k in range(5)]
+    assert texts_of(spark, pages) == want
+    assert html.extract(pages[1][1], frozenset()) != want[1]  # without the template the rest is there as well
+
+
+def test_template_equals_brute_force():
+    """Slots and constant texts of a small host against occurrence vectors that are written out."""
+    page = "<body><div class=n><a href=x>{0}</a></div><div class=m><h1>H{0}</h1>{1}<p>Words of page {0} in a row.</p></div><p>fixed</p></body>"
+    docs = [page.format(k, "<ul><li>one</li></ul>" if k % 2 else "") for k in range(6)]
+    reads = [html.read(d)[1] for d in docs]
+    vector = {t: tuple(r.get(t, [0, 0])[1] for r in reads) for r in reads for t in r}
+    parent = {t: x[0] for r in reads for t, x in r.items()}
+    chars = {t: sum(r[t][2] for r in reads if t in r) for t in parent}
+    often = {t: {"token": t, "parent": parent[t], "pages": sum(n > 0 for n in v), "once": sum(n == 1 for n in v), "chars": chars[t], "vector": str(v)} for t, v in vector.items()}
+    often = {t: x for t, x in often.items() if x["pages"] >= 3 and (t % 2 == 0 or x["once"] == x["pages"])}
+
+    def around(t):
+        while t != html.ROOT:
+            t = parent[t]
+            yield t
+
+    fixed = sorted(t for t in often if t & html.TEXT and any(vector[a] == vector[t] for a in around(t)))
+    slot, *rest = html.template_of(often)
+    assert rest == fixed and len(fixed) == 2
+    path = lambda *roles: __import__("functools").reduce(lambda p, r: html._below(p, r, r.split(".")[0]), roles, html.ROOT)
+    assert slot == path("body", "div.m")  # not the body, and not the one paragraph that would leave the heading behind
+    assert html.extract(docs[1], frozenset([slot, *rest])) == "H1\n\nWords of page 1 in a row."
+
+
+def test_names_only_break_ties():
+    say = lambda page: html.extract(page, frozenset())
+    assert say('<div class="site has-sidebar"><article><p>One.</p></article></div>') == "One."
+    assert say('<div class="no-sidebar"><p>Two.</p></div>') == say('<div class="sidebar-page"><p>Two.</p></div>') == "Two."
+    assert say('<article><p class="related">Four.</p><p title=it\'s>Five.</p></article><p>Rest') == "Four.\n\nFive."
+    assert say("<article><p>Text.</p><section id=comments><p>A comment that is longer.</p></section></article>") == "Text."
+    assert say("<p a=b'c>d</p><a href=\"x>y\">e</a>") == "d\n\ne"
+    assert say("<body><nav>Menu</nav>" + "<p>word</p>" * 30_000) == "\n\n".join(["word"] * 30_000)
