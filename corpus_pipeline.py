@@ -1,7 +1,13 @@
 """From raw documents to token ids in five stages; each works on all that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. ``run`` writes each result to a table in
-the shared folder and reads it again as the next one's docs.
+the shared folder and reads it again as the next one's docs; the table before it goes.
+
+Defined cases, in every stage: an empty table gives an empty one; a null text has no language, so it goes in the first
+stage (later ones treat it as empty); rows without an id are kept, are no copies and no references of others, and
+repeat nothing; rows of one id with different texts are judged text by text, and of rows with the same id and text one
+stays; ties go to the smallest id; texts of any length are read whole; further columns, whatever their names, are
+carried through to the last stage, which returns its own.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tesselake.llm import decontaminate, langid, neardup, substring, tokens
-from tesselake.llm.common import materialize, table
+from tesselake.llm.common import Shelf, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +56,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, shelf = table(spark, sf_dir, "documents"), Shelf(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = shelf.put(stage(spark, docs, sf_dir), name)
+        shelf.keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
