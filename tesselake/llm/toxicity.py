@@ -1,21 +1,25 @@
 """Toxicity scores by subword-bag embeddings averaged into a linear softmax.
 
-A word is the bag of itself and its character n-grams, hashed into a fixed number of buckets; its vector
-adds up theirs, so a misspelling never seen shares most of a known word's vectors. A window of
-words is the average of its words, an output layer turns it into two logits, and both layers are trained
-jointly in numpy (Adam on whole sparse batches). Because the output layer is linear, a window's logit is
-the average of its words' logits: scoring keeps one number a word in a bounded memo. A document scores as
-its most toxic window does (a few words in a long text stay visible), through a logistic curve fitted on
-a part of the sample that the layers weren't trained on.
-
-Defined cases: null and empty texts, and texts without a letter, have no words and score 0; texts of any length are scored whole; repeated rows are repeated; an empty table gives an
-empty result; with few labels the marks they show count little each, but count; with no labels, or labels of
-one class only, or no n-gram in LEAST_DOCS labelled documents, every score is 0.
+The bag of a token holds the words in it and their character n-grams, hashed into a fixed number of buckets;
+a misspelling never seen shares most of a known word's n-grams. A window of WINDOW tokens (a shorter text is one
+window) is the average of the embeddings in its tokens' bags, an output layer turns that into two logits, and a
+document's score is the softmax of its most toxic window, so a few words in a long text stay visible. Both
+layers are trained jointly in numpy on just that: in every epoch each labelled document is represented by the
+window that is its most toxic one by then, classes weigh the same, and Adam moves both layers. Training starts
+from the buckets' log odds between the classes, and a bucket's steps shrink with the evidence that its documents give.
+
+Because the output layer is linear, a window's logit is the quotient of two sums over its tokens: scoring
+keeps two numbers a token in a bounded table.
+
+Defined cases: null and empty texts, and texts without a letter, have no words and score 0; texts of any length are
+read whole, in training as well; repeated rows are repeated; ties between windows don't change a score; an empty table
+gives an empty result; with few labels the marks they show count little each, but count; with no labels, or labels of
+one class only, or no n-gram in LEAST_DOCS labelled documents, every score is 0; columns other than doc_id and text
+are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 import re
 
 import numpy as np
@@ -24,92 +28,99 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselake.llm.common import held_out, pick
+from tesselake.llm.common import GOLDEN, TokenTable, held_out, mix64, owned, pick, portions
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 8, 3, 5
-#: The bag of a window is averaged over so many n-grams a word, so that a telling stem counts as much in a long word.
-USUAL_GRAMS = 12
-#: Labelled documents of each class that the model is fitted on, and words read of each.
-SAMPLE_DOCS, SAMPLE_WORDS = 1000, 400
-#: Words of a window; a shorter text counts as if the rest were neutral.
-WINDOW, PEAK = 32, 64
+#: Labelled documents of each class that the model is fitted on, all of their text.
+SAMPLE_DOCS = 600
+#: Tokens of a window.
+WINDOW = 64
 #: A bucket is trained if so many sampled documents hold it: another could only be learned by heart.
 LEAST_DOCS = 4
-#: Largest log odds (a mark of one language is as good as one of another), standard deviations at which a bucket counts half, and the output layer's weight on the starting odds.
-MOST = 2.0
-CHANCE, GAIN = 6.0, 20.0
-EPOCHS, RATE, THRESHOLD = 300, 0.03, 0.7
-#: Words that a worker keeps the logit of.
-MEMO = 300_000
+#: Largest log odds to start from (a mark of one language is as good as one of another), standard deviations at which a
+#: bucket counts half, and the output layer's weight on the starting odds.
+MOST, CHANCE, GAIN = 2.0, 5.0, 20.0
+EPOCHS, RATE, THRESHOLD = 30, 0.3, 0.7
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
-
-
-def buckets_of(word: str) -> list[int]:
-    whole = f"<{word}>"
-    grams = {whole[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(whole) - n + 1)} | {whole}
-    return sorted(xxhash.xxh32_intdigest(g) % BUCKETS for g in grams)
+def bags(tokens: list[str]):
+    """(token, bucket) arrays, an entry for each n-gram and each word of each token."""
+    words, owner = [], []
+    for k, token in enumerate(tokens):
+        found = _WORD.findall(token.lower())
+        words += found
+        owner += [k] * len(found)
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(sizes)
+    word = np.repeat(np.arange(len(words)), sizes)
+    at = np.arange(len(codes))
+    place, left = (at - (ends - sizes)[word]).astype(np.uint64), ends[word] - at
+    base = np.uint64(0x9DDFEA08EB382D69)
+    whole = np.add.reduceat(mix64(codes * base + place), ends - sizes)
+    rows, found = [np.arange(len(words))], [mix64(whole)]
+    h = np.zeros(len(codes), np.uint64)
+    for n in range(1, LONGEST + 1):
+        m = len(codes) - n + 1
+        if m <= 0:
+            break
+        h = h[:m] * base + codes[n - 1 :]
+        if n >= SHORTEST:
+            inside = np.flatnonzero(left[:m] >= n)
+            rows.append(word[inside])
+            found.append(mix64(h[inside] + np.uint64(n * int(GOLDEN) % 2**64)))
+    return np.asarray(owner, np.int64)[np.concatenate(rows)], (np.concatenate(found) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 class Model:
-    """The trained layers: bucket embeddings, output weights and bias."""
+    """The trained layers. The difference of the two logits is all that a softmax over two classes needs."""
 
     def __init__(self, embeddings: np.ndarray, weights: np.ndarray, bias: np.ndarray):
-        # the difference of the two logits is all that a softmax over two classes needs
         self.logit = (embeddings @ (weights[:, 1] - weights[:, 0])).astype(np.float32)
         self.bias = float(bias[1] - bias[0])
-        self.slope, self.centre = 1.0, 0.0
 
-    def probability(self, z: float) -> float:
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * (z - self.centre)))))
+    def figures(self, tokens: list[str]) -> np.ndarray:
+        """For each token the sum of its bag's logits, and the size of the bag."""
+        token, bucket = bags(tokens)
+        return np.stack([np.bincount(token, self.logit[bucket], len(tokens)), np.bincount(token, minlength=len(tokens))], axis=1)
 
-    def word(self, word: str) -> float:
-        return float(self.logit[buckets_of(word)].sum()) / USUAL_GRAMS
 
+def best_window(figures: np.ndarray, bias: float) -> tuple[float, int]:
+    """Largest logit of WINDOW consecutive tokens that hold letters (of all, if fewer), and the first place of it among them."""
+    total = np.concatenate([np.zeros((1, 2)), np.cumsum(figures, axis=0)])
+    some = total[WINDOW:] - total[:-WINDOW] if len(figures) > WINDOW else total[-1:]
+    logits = some[:, 0] / some[:, 1]
+    k = int(np.argmax(logits))
+    return float(logits[k]) + bias, k
 
-def peak(logits: np.ndarray) -> float:
-    """Largest mean over PEAK consecutive words."""
-    if len(logits) <= PEAK:
-        return float(logits.sum()) / PEAK
-    total = np.concatenate([[0.0], np.cumsum(logits)])
-    return float((total[PEAK:] - total[:-PEAK]).max()) / PEAK
 
+def softmax(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
-def train(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
-    """Fit the layers on three quarters of the texts and the curve on the rest; None unless both classes are there."""
-    y = np.asarray(labels, np.int64)
-    if len(y) == 0 or y.min() == y.max():
-        return None
-    rest = np.zeros(len(y), bool)
-    for label in (0, 1):
-        rest[np.flatnonzero(y == label)[3::4]] = True
-    model = fit_layers([t for t, r in zip(texts, rest, strict=True) if not r], y[~rest], seed)
-    if model is None or y[rest].min(initial=1) == y[rest].max(initial=0):
-        return model
-    scorer = Scorer(model)
-    z = np.array([scorer.peak(t) for t, r in zip(texts, rest, strict=True) if r])
-    model.slope, model.centre = fit_curve(z, y[rest], model.bias)
-    return model
-
-
-def fit_curve(z: np.ndarray, y: np.ndarray, neutral: float) -> tuple[float, float]:
-    """Slope and centre of a logistic curve: the threshold falls midway between the values that part the classes with fewest mistakes.
-
-    It stays above what a text of neutral words gets, so a short text isn't toxic for want of words.
-    """
-    order = np.argsort(z, kind="stable")
-    z, y = z[order], y[order]
-    wrong = np.concatenate([[0], np.cumsum(y == 1)]) + (y == 0).sum() - np.concatenate([[0], np.cumsum(y == 0)])
-    best = np.flatnonzero(wrong == wrong.min())
-    k = int(best[len(best) // 2])
-    low, high = (z[k - 1] if k else z[0] - 1), (z[k] if k < len(z) else z[-1] + 1)
-    slope = 4 / max(1e-6, float(np.median(z[y == 1]) - np.median(z[y == 0])))
-    at = max((low + high) / 2, neutral + 0.1 * max(0.0, float(np.median(z[y == 1])) - neutral))
-    return slope, float(at - math.log(THRESHOLD / (1 - THRESHOLD)) / slope)
+
+class Scorer:
+    def __init__(self, model: Model):
+        self.model, self.table = model, TokenTable(model.figures)
+
+    def logits(self, texts: list) -> np.ndarray:
+        """Logit of each text's most toxic window; nan where a text has no word."""
+        out = np.full(len(texts), np.nan)
+        for first, last in portions(texts):
+            figures, starts = self.table.read(texts[first:last])
+            full = figures[:, 1] > 0
+            at = np.concatenate([[0], np.cumsum(full)])[starts]
+            figures = figures[full]
+            for k in range(last - first):
+                if at[k] < at[k + 1]:
+                    out[first + k] = best_window(figures[at[k] : at[k + 1]], self.model.bias)[0]
+        return out
+
+    def scores(self, texts: list) -> np.ndarray:
+        return np.nan_to_num(softmax(self.logits(texts)), nan=0.0)
 
 
 def shrunk_odds(in_docs: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,121 +135,84 @@ def shrunk_odds(in_docs: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.n
     return np.clip(np.log(p / n), -MOST, MOST) * share, share
 
 
-def fit_layers(texts: list[str], y: np.ndarray, seed: int) -> Model | None:
-    """Both layers, trained jointly on the windows of the texts. Classes weigh the same, and texts of a class do."""
+def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int | None = None) -> Model | None:
+    """Fit both layers jointly; None unless both classes have words, and some n-gram enough documents."""
     vocabulary: dict[str, int] = {}
-    doc_words = [[vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)[:SAMPLE_WORDS]] for t in texts]
-    windows = [(w[i : i + WINDOW], k) for k, w in enumerate(doc_words) for i in range(0, len(w), WINDOW)]
-    if not windows:
+    docs = [np.array([vocabulary.setdefault(t, len(vocabulary)) for t in (text or "").split()], np.int64) for text in texts]
+    token, bucket = bags(list(vocabulary))
+    sizes = np.bincount(token, minlength=len(vocabulary))
+    docs = [d[sizes[d] > 0] for d in docs]
+    docs, y = [d for d in docs if len(d)], np.asarray([v for d, v in zip(docs, labels, strict=True) if len(d)], np.int64)
+    if len(y) == 0 or y.min() == y.max():
         return None
-    sizes = np.array([len(w) for w, _ in windows])
-    of_doc = np.array([k for _, k in windows])
-    y_doc, y = y, y[of_doc]
-    grams = [buckets_of(w) for w in vocabulary]
-    in_docs = np.zeros((2, BUCKETS), np.int32)
-    for k, words in enumerate(doc_words):
-        if words:
-            in_docs[y_doc[k], np.fromiter({g for w in set(words) for g in grams[w]}, np.int64)] += 1
-    odds, evidence = shrunk_odds(in_docs, np.bincount(y_doc, minlength=2))
-    in_docs = in_docs.sum(axis=0)
-    telling = in_docs >= LEAST_DOCS
-    used = np.flatnonzero(telling)
-    gram_row = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-    word_of = np.concatenate([np.asarray(g) for g in grams])
-    kept = telling[word_of]
-    gram_row, word_of = gram_row[kept], np.searchsorted(used, word_of[kept])
-    if len(used) == 0:
+    by = np.argsort(token, kind="stable")
+    token, bucket = token[by], bucket[by]
+    first = np.searchsorted(token, np.arange(len(vocabulary) + 1))
+
+    def entries(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the bags of some tokens, and which of the tokens each belongs to."""
+        n = sizes[some]
+        row = np.repeat(np.arange(len(some)), n)
+        return first[some][row] + np.arange(len(row)) - (np.cumsum(n) - n)[row], row
+
+    in_docs = np.zeros((2, BUCKETS), np.int64)
+    for words, label in zip(docs, y, strict=True):
+        in_docs[label, np.unique(bucket[entries(np.unique(words))[0]])] += 1
+    odds, evidence = shrunk_odds(in_docs, np.bincount(y, minlength=2))
+    used = in_docs.sum(axis=0) >= LEAST_DOCS
+    if not used.any():
         return None
-    flat = np.concatenate([np.asarray(w, np.int64) for w, _ in windows])
-    doc_at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    doc_row = np.repeat(np.arange(len(sizes)), sizes)
-    by_word = np.argsort(flat, kind="stable")
-    word_first = np.searchsorted(flat[by_word], np.arange(len(grams)))  # every word of the vocabulary is in a document
-    with_grams, word_at = np.unique(gram_row, return_index=True)
-    by_gram = np.argsort(word_of, kind="stable")
-    gram_first = np.searchsorted(word_of[by_gram], np.arange(len(used)))
+    evidence = np.where(used, evidence, 0)[:, None].astype(np.float32)
     rng = np.random.default_rng(seed)
     along = np.full(DIM, DIM**-0.5, np.float32)
-    e = (odds[used, None] * along + rng.normal(0, 0.01, (len(used), DIM))).astype(np.float32)
+    e = (np.where(used, odds, 0)[:, None] * along + evidence * rng.normal(0, 0.01, (BUCKETS, DIM))).astype(np.float32)
     w = (GAIN * along[:, None] * np.array([-0.5, 0.5]) + rng.normal(0, 0.01, (DIM, 2))).astype(np.float32)
     b = np.zeros(2, np.float32)
-    per_doc = np.bincount(of_doc, minlength=len(y_doc))
-    share = (1 / (2 * np.maximum(1, np.bincount(y_doc, minlength=2))[y] * per_doc[of_doc]))[:, None].astype(np.float32)
+    weight = (1 / (2 * np.bincount(y, minlength=2)[y]))[:, None].astype(np.float32)
     target = np.eye(2, dtype=np.float32)[y]
-    steps = (evidence[used, None].astype(np.float32), 1, 1)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (e, w, b)]
-    for step in range(1, EPOCHS + 1):
-        word_vec = np.zeros((len(grams), DIM), np.float32)
-        word_vec[with_grams] = np.add.reduceat(e[word_of], word_at, axis=0)
-        word_vec /= USUAL_GRAMS
-        hidden = np.add.reduceat(word_vec[flat], doc_at, axis=0) / sizes[:, None]
+    at = np.arange(len(vocabulary))
+    for step in range(1, (epochs or EPOCHS) + 1):
+        model = Model(e, w, b)
+        figures = np.stack([np.bincount(token, model.logit[bucket], len(at)), sizes], axis=1)
+        windows = [d[k : k + WINDOW] for d in docs for k in [best_window(figures[d], 0.0)[1]]]
+        n = np.fromiter(map(len, windows), np.int64, len(windows))
+        flat, place = np.unique(np.concatenate(windows), return_inverse=True)
+        of = np.repeat(np.arange(len(n)), n)
+        where, row = entries(flat)
+        held = bucket[where]
+        vectors = np.add.reduceat(e[held], np.searchsorted(row, np.arange(len(flat))), axis=0)
+        size = np.bincount(of, sizes[flat][place])[:, None].astype(np.float32)
+        hidden = np.add.reduceat(vectors[place], np.cumsum(n) - n, axis=0) / size
         z = hidden @ w + b
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
-        dz = (p - target) * share
-        dh = (dz @ w.T / sizes[:, None]).astype(np.float32)
-        dword = np.add.reduceat(dh[doc_row[by_word]], word_first, axis=0) / USUAL_GRAMS
-        de = np.add.reduceat(dword[gram_row[by_gram]], gram_first, axis=0)
-        for k, (param, grad) in enumerate(((e, de), (w, hidden.T @ dz), (b, dz.sum(axis=0)))):
+        dz = (p - target) * weight
+        dh = (dz @ w.T / size).astype(np.float32)
+        order = np.argsort(place, kind="stable")
+        dtoken = np.add.reduceat(dh[of[order]], np.searchsorted(place[order], np.arange(len(flat))), axis=0)
+        de = np.stack([np.bincount(held, dtoken[row, k], BUCKETS) for k in range(DIM)], axis=1).astype(np.float32)
+        for k, (param, grad, rate) in enumerate(((e, de, evidence), (w, hidden.T @ dz, 1), (b, dz.sum(axis=0), 1))):
             m, v = state[k]
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
-            param -= RATE * steps[k] * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    full = np.zeros((BUCKETS, DIM), np.float32)
-    full[used] = e
-    return Model(full, w, b)
-
-
-class Scorer:
-    def __init__(self, model: Model, memo: int = MEMO):
-        self.model, self.known, self.memo = model, {}, memo
-
-    def token(self, token: str) -> tuple[float, ...]:
-        """Logits of the words of a space-delimited token."""
-        found = tuple(map(self.model.word, words_of(token)))
-        if len(self.known) >= self.memo:
-            self.known.clear()
-        if len(token) <= 64:
-            self.known[token] = found
-        return found
-
-    def peak(self, text: str | None) -> float:
-        get, token = self.known.get, self.token
-        logits: list[float] = []
-        for t in (text or "").split():
-            found = get(t)
-            logits += token(t) if found is None else found
-        return peak(np.array(logits, np.float64)) + self.model.bias
-
-    def score(self, text: str | None) -> float:
-        return self.model.probability(self.peak(text)) if words_of(text) else 0.0
+            param -= RATE * rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+    return Model(e, w, b)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most SAMPLE_DOCS documents of each class, picked by a hash of their id.
+    """Whole texts and labels of at most SAMPLE_DOCS documents of each class, picked by a hash of their id.
 
-    Held-out documents are never read. A document labelled more than once counts as toxic if any label is.
+    Held-out documents are never read. A document labelled more than once counts as toxic if any label is; of
+    different texts with one id the first in order is taken.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = pick(known, "toxic", SAMPLE_DOCS)
     some = docs.select("doc_id", "text").where(F.col("text").isNotNull() & ~held_out())
     rows = some.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id")
-    texts, y = [], []
-    for row in rows.select(F.regexp_extract("text", rf"^(\S*\s*){{0,{SAMPLE_WORDS}}}", 0).alias("text"), "toxic").toLocalIterator():
-        texts.append(row["text"])
-        y.append(row["toxic"])
-    return texts, y
-
-
-_SCORERS: dict = {}
-
-
-def _scorer(key: str, model: Model) -> Scorer:
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model)
-    return _SCORERS[key]
+    found = [(row["text"], row["toxic"]) for row in rows.select("text", "toxic").toLocalIterator()]
+    return [t for t, _ in found], [y for _, y in found]
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -250,9 +224,9 @@ def score_toxicity(docs: DataFrame, model: Model | None, threshold: float = THRE
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
-        scorer = _scorer(key, shared.value)
+        scorer = owned((Scorer, key), lambda: Scorer(shared.value))
         for batch in batches:
-            found = np.array([scorer.score(t) for t in batch.column("text").to_pylist()], np.float64)
+            found = scorer.scores(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return some.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
