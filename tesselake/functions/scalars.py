@@ -88,6 +88,17 @@ def errno_of(rc: Column) -> Column:
     return F.when(rc < 0, -rc).otherwise(S.EIO).cast("int")
 
 
+def target_text(osts: Column) -> Column:
+    """Target indexes with commas between them, as many as the fixed room of a description holds."""
+    full = F.lit(S.TARGET_TEXT - 8)
+    return F.aggregate(osts, F.lit(""), lambda text, x: F.when(F.length(text) >= full, text).when(text == "", x.cast("string")).otherwise(F.concat(text, F.lit(","), x.cast("string"))))
+
+
+def first_bytes(text: Column, n: int) -> Column:
+    """At most n bytes of a text, as bytes: a cut may fall inside a character."""
+    return F.substring(text.cast("binary"), 1, n)
+
+
 def delete_reason(reason: Column) -> Column:
     return F.when(reason == "BANNED", "banned").when(reason == "ROLLBACK", "rollback of the mirror just added").when(reason == "SURPLUS", "surplus").otherwise("unknown")
 
@@ -105,11 +116,13 @@ def base64_text(data: Column) -> Column:
 def json_escaped(text: Column) -> Column:
     """Quotes and backslashes by a backslash, control characters and every byte from 0x7f as \\u00xx.
 
-    Bytes are taken one by one from the hexadecimal form, so invalid UTF-8 (a binary column) works as well.
+    Bytes are taken one by one from the hexadecimal form, so invalid UTF-8 (a binary column) works as well; a text
+    that has nothing to escape is left alone.
     """
+    plain = text.cast("string")
     pairs = F.regexp_extract_all(F.hex(text.cast("binary")), F.lit("(..)"), 1)
     one = F.transform(pairs, lambda h: F.when(h.isin("22", "5C"), F.concat(F.lit("\\"), F.unhex(h).cast("string"))).when((h < "20") | (h >= "7F"), F.concat(F.lit("\\u00"), F.lower(h))).otherwise(F.unhex(h).cast("string")))
-    return F.array_join(one, "")
+    return F.when(plain.rlike(r'[^\x20-\x7E]|["\\]'), F.array_join(one, "")).otherwise(plain)
 
 
 def copy_buffer(stripe_size: Column) -> Column:

@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 
 def read_manifest(spark, path: str, most: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
     """(records, completeness) of NUL-terminated byte paths: a file without a final NUL, or with a record that is too long, is incomplete."""
-    rows = spark.read.option("lineSep", "\0").text(path).select(F.col("value").cast("binary").alias("path"), F.input_file_name().alias("file"))
-    tails = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), (F.substring(F.hex(F.expr("substring(content, -1, 1)")), 1, 2) == "00").alias("ends"))
-    complete = tails.agg(F.coalesce(F.bool_and("ends"), F.lit(True)).alias("ends")).join(rows.agg(F.coalesce(F.max(F.octet_length("path")) <= most, F.lit(True)).alias("short")))
+    rows = spark.read.option("lineSep", "\0").text(path).select(F.col("value").cast("binary").alias("path"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
+    # a last record that is cut looks like one that ends, so lengths are compared: with a NUL behind each record they add up to the file's
+    ends = rows.groupBy("file").agg((F.sum(F.octet_length("path") + 1) == F.max("size")).alias("ends"))
+    complete = ends.agg(F.coalesce(F.bool_and("ends"), F.lit(True)).alias("ends")).join(rows.agg(F.coalesce(F.max(F.octet_length("path")) <= most, F.lit(True)).alias("short")))
     return rows.where(F.octet_length("path") <= most).select("path"), complete.select((F.col("ends") & F.col("short")).alias("input_complete"))
 
 
+def write_manifest(records: DataFrame, path: str) -> None:
+    """Byte paths, each ended by a NUL, as ``read_manifest`` reads them: the records that are left can be replayed."""
+    records.select(F.col("path").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+
+
 def remaining(manifest: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Records of the manifest that have no outcome, to be replayed."""
     return manifest.join(outcomes.select("path").distinct(), "path", "left_anti")
@@ -42,26 +48,39 @@ def hardlink_groups(files: DataFrame) -> DataFrame:
     return g.withColumn("complete", F.col("names") >= F.col("links"))
 
 
+def manifest_links(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """path, st_dev, st_ino, listed, links, complete of each record with several links: whether the manifest lists all names of its inode."""
+    named = manifest.select("path").distinct().join(files.where("st_nlink > 1").select("path", "st_dev", "st_ino", "st_nlink"), "path")
+    listed = named.groupBy("st_dev", "st_ino").agg(F.count(F.lit(1)).cast("int").alias("listed"), F.max("st_nlink").alias("links"))
+    return named.drop("st_nlink").join(listed, ["st_dev", "st_ino"]).withColumn("complete", F.col("listed") >= F.col("links"))
+
+
 def tree_diff(source: DataFrame, target: DataFrame, attributes: list[str]) -> DataFrame:
-    """path, difference: missing, extra, or the attributes that differ (nulls are equal)."""
+    """path, difference (missing, extra, or the attributes that differ; nulls are equal), and failed: a missing path is a failure."""
     s, t = source.select("path", F.struct(*attributes).alias("s")), target.select("path", F.struct(*attributes).alias("t"))
     j = s.join(t, "path", "full")
     parts = [F.when(~F.col(f"s.{a}").eqNullSafe(F.col(f"t.{a}")), F.lit(a)) for a in attributes]
     differs = F.concat_ws(",", *parts)
-    return j.select("path", F.when(F.col("t").isNull(), "missing").when(F.col("s").isNull(), "extra").otherwise(differs).alias("difference")).where("difference <> ''")
+    return j.select("path", F.when(F.col("t").isNull(), "missing").when(F.col("s").isNull(), "extra").otherwise(differs).alias("difference"), F.col("t").isNull().alias("failed")).where("difference <> ''")
 
 
-def restore_order(entries: DataFrame) -> DataFrame:
+def restore_order(entries: DataFrame, ranges: int = 200) -> DataFrame:
     """path, place: files first, then directories from the deepest up, the root of the tree last.
 
-    Places are numbered level by level, so only the entries of one level of one kind are sorted together.
+    Entries are sorted in ranges of paths within a level, so no task sorts a whole level. The ranges are cut by a
+    sample of about 20 paths for each; a window over the few ranges says at which place each starts.
     """
     depth = F.size(F.split("path", "/")) - 1
     e = entries.withColumn("level", F.when(F.col("is_dir"), -depth).otherwise(F.lit(-(1 << 30))))
-    sizes = e.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    at = F.row_number().over(Window.partitionBy("level").orderBy("path"))
-    return e.withColumn("nth", at).join(F.broadcast(starts), "level").select("path", "is_dir", (F.col("before") + F.col("nth")).cast("long").alias("place"))
+    n = entries.count()
+    sample = entries.where(F.pmod(F.xxhash64("path"), F.lit(max(1, n))) < 20 * ranges).select("path").distinct().orderBy("path").limit(40 * ranges)
+    paths = [r["path"] for r in sample.collect()]
+    cuts = paths[:: max(1, len(paths) // ranges)]
+    e = e.withColumn("range", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<string>"), lambda x: x <= F.col("path"))))
+    sizes = e.groupBy("level", "range").agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("level", "range", F.coalesce(F.sum("n").over(Window.orderBy("level", "range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    at = F.row_number().over(Window.partitionBy("level", "range").orderBy("path"))
+    return e.withColumn("nth", at).join(F.broadcast(starts), ["level", "range"]).select("path", "is_dir", (F.col("before") + F.col("nth")).cast("long").alias("place"))
 
 
 def rollback_candidates(journal: DataFrame, files: DataFrame) -> DataFrame:

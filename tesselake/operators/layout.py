@@ -1,8 +1,9 @@
 """Layout analysis: ordered components to mirror counters to one verdict a file.
 
-Everything needs the rows of a file together and no more: windows and both aggregations share one
-shuffle on file_id. Objects meet the banned set first (a broadcast where it is small), so only the
-objects on banned targets are grouped.
+Everything needs the rows of a file together and no more: components are shuffled by file_id once, and the
+windows, the join with the banned objects and both aggregations stay in that partitioning (``tests/test_layouts.py``
+counts the exchanges). Objects meet the banned set first (a broadcast where it is small), and those
+on banned targets come as one row a file.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ def scan(components: DataFrame, files: DataFrame, flags: S.Flags = S.Flags()) ->
     file = Window.partitionBy("file_id").orderBy("comp_ord")
     mirror = Window.partitionBy("file_id", "mirror_id").orderBy("comp_ord")
     c = components.join(files.select("file_id", "file_size", "flr_state"), "file_id")
+    # the windows by file come first: what they need together serves those by mirror too
+    c = c.withColumn("before", F.lag(F.struct("mirror_id", "flags", "ext_start", "ext_end")).over(file)).withColumn("last_of_file", F.lead("comp_ord").over(file).isNull())
     ext = bit(F.col("flags"), flags.extension)
     c = c.withColumn("extension", ext).withColumn("zero_length", (F.col("ext_end") == F.col("ext_start")) & ~ext)
     c = c.withColumn("first_of_mirror", F.row_number().over(mirror) == 1)
     c = c.withColumn("slot", F.sum(F.col("first_of_mirror").cast("int")).over(file).cast("int"))
     c = c.withColumn("slot", F.max(F.when(F.col("first_of_mirror"), F.col("slot"))).over(mirror))
-    unfollowed = F.coalesce(F.lag("zero_length").over(file), F.lit(False)) & (~ext | (F.lag("mirror_id").over(file) != F.col("mirror_id")))
-    c = c.withColumn("unfollowed", unfollowed).withColumn("trailing", F.col("zero_length") & F.lead("comp_ord").over(file).isNull())
+    after_zero = (F.col("before.ext_end") == F.col("before.ext_start")) & ~bit(F.col("before.flags"), flags.extension)
+    c = c.withColumn("unfollowed", F.coalesce(after_zero, F.lit(False)) & (~ext | (F.col("before.mirror_id") != F.col("mirror_id")))).withColumn("trailing", F.col("zero_length") & F.col("last_of_file"))
     error = (
         F.when(bit(F.col("flags"), ~flags.known & 0xFFFFFFFF), S.ENOTSUP)
         .when(F.col("ext_end") < F.col("ext_start"), S.EINVAL)
@@ -58,7 +61,8 @@ def banned_components(objects: DataFrame, banned: DataFrame) -> DataFrame:
 def outside_allowed(objects: DataFrame, banned: DataFrame, allowed: DataFrame) -> DataFrame:
     """file_id, comp_ord, outside: stripes off the allowed targets, up to and with the first banned one."""
     first = banned_components(objects, banned)
-    off = objects.join(allowed.select(F.col("ost_index").alias("ost")).distinct(), "ost", "left_anti")
+    listed = allowed.agg((F.count(F.lit(1)) > 0).alias("listed"))  # no list given: everything is allowed
+    off = objects.join(allowed.select(F.col("ost_index").alias("ost")).distinct(), "ost", "left_anti").join(F.broadcast(listed)).where("listed").drop("listed")
     seen = off.join(first, ["file_id", "comp_ord"], "left").where(F.col("first_banned").isNull() | (F.col("stripe_idx") <= F.col("first_banned")))
     return seen.groupBy("file_id", "comp_ord").agg(F.count(F.lit(1)).cast("int").alias("outside"))
 
@@ -70,9 +74,10 @@ def bad_pools(pool_members: DataFrame, banned: DataFrame) -> DataFrame:
 
 def mirrors(scanned: DataFrame, objects: DataFrame, banned: DataFrame, pool_members: DataFrame, flags: S.Flags = S.Flags()) -> DataFrame:
     """One row for each mirror: its counters, coverage, and whether it is banned or usable."""
-    on_banned = banned_components(objects, banned).select("file_id", "comp_ord", F.lit(True).alias("on_banned"))
+    on = objects.join(F.broadcast(banned.select(F.col("ost_index").alias("ost")).distinct()), "ost", "left_semi")  # indexes have 16 bits
+    on = on.groupBy("file_id").agg(F.collect_set("comp_ord").alias("on_banned"))
     bad = bad_pools(pool_members, banned).select("pool", F.lit(True).alias("bad_pool"))
-    c = scanned.join(on_banned, ["file_id", "comp_ord"], "left").join(bad, "pool", "left")
+    c = scanned.join(on, "file_id", "left").join(F.broadcast(bad), "pool", "left").withColumn("on_banned", F.array_contains("on_banned", F.col("comp_ord")))
     stale, away = bit(F.col("flags"), flags.stale), bit(F.col("flags"), flags.nosync | flags.offline)
     bare = ~F.col("extension") & ~F.col("instantiated")
     missing = bare & (F.col("ext_end") > F.col("ext_start")) & (F.col("file_size") > 0) & (F.col("ext_start") < F.col("file_size"))

@@ -43,6 +43,14 @@ def allocation_possible(usable: Column, needed: int, any_banned: Column) -> Colu
     return ~any_banned | usable.isNull() | (usable >= needed)
 
 
+def allocation(usage: DataFrame, needed: int, any_banned: bool = True) -> DataFrame:
+    """scope, possible, errno, message: whether a new mirror of ``needed`` stripes can be placed in each scope (a pool, or null: the catalogue)."""
+    possible = allocation_possible(F.col("usable"), needed, F.lit(any_banned))
+    pool = F.when(F.col("pool").isNotNull(), F.concat(F.lit(" in pool "), "pool")).otherwise("")
+    says = F.format_string("only %d OST%s outside the banned set%s, but a new mirror needs %d stripe%s; nothing was changed", "usable", scalars.plural(F.col("usable")), pool, F.lit(needed), F.lit("" if needed == 1 else "s"))
+    return usage.select(F.coalesce("pool", F.lit("catalogue")).alias("scope"), possible.alias("possible"), F.when(possible, 0).otherwise(S.ENOSPC).cast("int").alias("errno"), F.when(~possible, says).alias("message"))
+
+
 def read_pool_members(names: DataFrame) -> DataFrame:
     """pool, ost_index of (pool, member name) rows; names that can't be read are left out."""
     return names.select("pool", scalars.parse_ost(F.col("member")).alias("ost_index")).where("ost_index >= 0")
@@ -55,21 +63,36 @@ def stale_range(components: DataFrame, flags: S.Flags = S.Flags()) -> DataFrame:
 
 
 def describe(files: DataFrame, components: DataFrame, objects: DataFrame, flags: S.Flags = S.Flags()) -> DataFrame:
-    """One line of text for each file: state, counts, and stripes, pool and targets of the first component."""
-    first = F.min_by(F.struct("stripe_count", "pool"), "comp_ord")
+    """One line of text for each file: state, counts, and stripes (``stripe_size``), pool and targets of the first component."""
+    first = F.min_by(F.struct("stripe_count", "stripe_size", "pool"), "comp_ord")
     c = components.groupBy("file_id").agg(F.countDistinct("mirror_id").alias("mirrors"), F.count(F.lit(1)).alias("n"), F.count_if(bit(F.col("flags"), flags.init)).alias("init"), first.alias("first"), F.min("comp_ord").alias("comp_ord"))
-    o = objects.groupBy("file_id", "comp_ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stripe_idx", "ost"))), lambda x: x["ost"].cast("string")), ",").alias("osts"))
+    o = objects.groupBy("file_id", "comp_ord").agg(scalars.target_text(F.transform(F.array_sort(F.collect_list(F.struct("stripe_idx", "ost"))), lambda x: x["ost"])).alias("osts"))
     c = c.join(files.select("file_id", "flr_state"), "file_id").join(o, ["file_id", "comp_ord"], "left")
     pool = F.when(F.col("first.pool") == "", "-").otherwise(F.col("first.pool"))
     state = F.when(F.col("flr_state") == 0, "0").otherwise(F.format_string("0x%x", "flr_state"))
-    text = F.format_string("flr_state=%s mirrors=%d components=%d init=%d stripe_count=%d pool=%s osts=[%s]", state, "mirrors", "n", "init", F.col("first.stripe_count"), pool, F.coalesce("osts", F.lit("-")))
+    text = F.format_string("flr_state=%s mirrors=%d components=%d init=%d stripe_count=%d stripe_size=%d pool=%s osts=[%s]", state, "mirrors", "n", "init", F.col("first.stripe_count"), F.col("first.stripe_size"), pool, F.coalesce("osts", F.lit("-")))
     return c.select("file_id", text.alias("description"))
 
 
-def copy_chunks(extents: DataFrame, buffer: int = S.COPY_BUFFER, page: int = S.PAGE) -> DataFrame:
+def stale_components(components: DataFrame, flags: S.Flags = S.Flags()) -> DataFrame:
+    """file_id, comp_ord of the components that a resync would copy."""
+    return components.where(bit(F.col("flags"), flags.stale) & ~bit(F.col("flags"), flags.nosync)).select("file_id", "comp_ord")
+
+
+def copy_plan(extents: DataFrame, files: DataFrame, page: int = S.PAGE) -> DataFrame:
+    """file_id, action, pos, length of each step that copies a sparse file: its data in reads of ``buffer`` bytes (a column of
+    files), and where a hole is at its end a truncation to the file's size."""
+    chunks = copy_chunks(extents.join(files.select("file_id", "buffer"), "file_id"), F.col("buffer"), page)
+    ends = extents.where("data_size > 0").groupBy("file_id").agg(F.max(F.col("data_off") + F.col("data_size")).alias("data_end"))
+    holes = files.join(ends, "file_id", "left").where((F.col("file_size") > 0) & (F.coalesce("data_end", F.lit(0)) < F.col("file_size")))
+    return chunks.select("file_id", F.lit("copy").alias("action"), "pos", "length").unionByName(holes.select("file_id", F.lit("truncate").alias("action"), F.col("file_size").alias("pos"), F.lit(0).cast("long").alias("length")))
+
+
+def copy_chunks(extents: DataFrame, buffer: int | Column = S.COPY_BUFFER, page: int = S.PAGE) -> DataFrame:
     """file_id, pos, length of each aligned read that copies the data extents (file_id, data_off, data_size)."""
+    size = buffer if isinstance(buffer, Column) else F.lit(buffer)
     start = F.col("data_off") - F.pmod(F.col("data_off"), F.lit(page))
     end = F.col("data_off") + F.col("data_size")
     stop = end + F.pmod(-end, F.lit(page))
-    e = extents.where("data_size > 0").withColumn("first", start).withColumn("stop", stop)
-    return e.select("file_id", "stop", F.explode(F.sequence("first", F.col("stop") - 1, F.lit(buffer).cast("long"))).alias("pos")).select("file_id", "pos", F.least(F.lit(buffer), F.col("stop") - F.col("pos")).cast("long").alias("length"))
+    e = extents.where("data_size > 0").withColumn("first", start).withColumn("stop", stop).withColumn("buffer", size.cast("long"))
+    return e.select("file_id", "stop", "buffer", F.explode(F.sequence("first", F.col("stop") - 1, "buffer")).alias("pos")).select("file_id", "pos", F.least("buffer", F.col("stop") - F.col("pos")).cast("long").alias("length"))

@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 from tesselake import schema as S
 from tesselake.functions import scalars
+from tesselake.plans import decide
 
 COUNTS = ["initial_mirror_count", "mirror_count_before", "mirror_count_after", "banned_mirrors_before", "banned_mirrors_after", "target_mirror_count"]
 ACTIONS = ["mirrors_added", "mirrors_deleted", "resyncs", "allocation_retries"]
 
 
 def results(files: DataFrame, targeted: DataFrame) -> DataFrame:
-    """What an inspection of each file finds, in the fields of the record."""
-    r = files.select("file_id", "path", "file_size").join(targeted.drop("mode", "target_opt"), "file_id")
+    """What an inspection of each file finds, in the fields of the record. ``files`` may have the file's ``fid``."""
+    fid = F.col("fid") if "fid" in files.columns else F.lit(None).cast("string")
+    r = files.select("file_id", "path", "file_size", fid.alias("fid")).join(targeted.drop("mode", "target_opt"), "file_id")
     good = F.col("error") == 0
-    done = (F.col("banned") == 0) & (F.col("mirrors") == F.col("target")) & ~F.col("any_stale") & ~F.col("needs_resync") & (F.col("usable") > 0)
-    says = F.format_string("inspected: %d mirrors, %d on banned OSTs, %d usable, size %d%s", "mirrors", "banned", "usable", "file_size", F.when(F.col("recorded_goal") > 0, "; an earlier run did not finish and recorded its mirror goal on this file").otherwise(""))
-    message = F.when(~good, F.concat(F.lit("cannot read the layout: error "), F.col("error").cast("string"))).when(done, "already in the requested state").otherwise(says)
+    message = F.when(~good, F.concat(F.lit("cannot read the layout: error "), F.col("error").cast("string"))).otherwise(decide.inspected())
     none = F.lit(0)
     return r.select(
-        "file_id", "path", F.when(good, "ok").otherwise("error").alias("status"), scalars.exit_code(F.col("error")).alias("rc"), F.col("error").alias("errno"),
+        "file_id", "path", "fid", F.when(good, "ok").otherwise("error").alias("status"), scalars.exit_code(F.col("error")).alias("rc"), F.col("error").alias("errno"),
         F.when(~good, "analyse").alias("stage"), F.lit(False).alias("changed"), F.lit(False).alias("pending_layout"),
         F.when(good, F.col("initial")).alias("initial_mirror_count"), F.col("mirrors").alias("mirror_count_before"), F.col("mirrors").alias("mirror_count_after"),
         F.col("banned").alias("banned_mirrors_before"), F.col("banned").alias("banned_mirrors_after"), F.col("target").alias("target_mirror_count"),
@@ -30,7 +30,7 @@ def results(files: DataFrame, targeted: DataFrame) -> DataFrame:
 
 
 def record_json(root: str) -> Column:
-    """The record as one ASCII line with its fields in a fixed order; unknown counts are null, stage and errno only after an error."""
+    """The record as one ASCII line with its fields in a fixed order; unknown counts are null, fid only if known, stage and errno only after an error."""
     text = lambda c: F.concat(F.lit('"'), scalars.json_escaped(c), F.lit('"'))
     flag = lambda c: F.when(c, "true").otherwise("false")
     number = lambda c: F.coalesce(scalars.known_count(F.col(c)).cast("string"), F.lit("null"))
@@ -38,8 +38,8 @@ def record_json(root: str) -> Column:
         ("schema", F.lit(str(S.RESULT_SCHEMA))), ("status", text(F.col("status"))), ("rc", F.col("rc").cast("string")), ("retryable", flag(scalars.is_transient(F.col("errno")))),
         ("program", F.lit(f'"{S.PROGRAM}"')), ("program_version", F.lit(f'"{S.PROGRAM_VERSION}"')),
         ("path_b64", F.concat(F.lit('"'), scalars.base64_text(F.col("path")), F.lit('"'))), ("root_b64", F.concat(F.lit('"'), scalars.base64_text(F.lit(root)), F.lit('"'))),
-        ("changed", flag(F.col("changed"))), ("pending_layout", flag(F.col("pending_layout"))), *((c, number(c)) for c in COUNTS), *((c, F.col(c).cast("string")) for c in ACTIONS),
-        ("message", text(F.substring("message", 1, 1023))),
+        ("fid", text(F.col("fid"))), ("changed", flag(F.col("changed"))), ("pending_layout", flag(F.col("pending_layout"))), *((c, number(c)) for c in COUNTS), *((c, F.col(c).cast("string")) for c in ACTIONS),
+        ("message", text(scalars.first_bytes(F.col("message"), S.MESSAGE_BYTES))),
     ]
     body = F.concat_ws(",", *(F.concat(F.lit(f'"{name}":'), value) for name, value in fields))
     failed = F.concat(F.lit(',"stage":'), text(F.col("stage")), F.lit(',"errno":'), F.col("errno").cast("string"))
@@ -54,9 +54,19 @@ def record_text() -> Column:
 
 
 def write_records(results: DataFrame, root: str, path: str) -> None:
+    """The job's log: one record a line."""
     results.select(record_json(root).alias("value")).write.text(path)
 
 
+def projected(files: DataFrame, counts: DataFrame) -> DataFrame:
+    """file_id, path, the counters that a run's record would have if all planned actions succeed, and its message."""
+    r = files.select("file_id", "path").join(counts, "file_id")
+    added, deleted = F.col("projected_add_first") + F.col("projected_add"), F.col("projected_delete_banned") + F.col("projected_delete_surplus")
+    resyncs = F.col("projected_resync_first").cast("int") + F.col("projected_resync_last").cast("int")
+    says = F.format_string("migrated: %d mirror%s, none on a banned OST; added %d, deleted %d, resynced %d%s", "target", scalars.plural(F.col("target")), added, deleted, resyncs, F.lit(""))
+    return r.select("file_id", "path", added.cast("int").alias("mirrors_added"), deleted.cast("int").alias("mirrors_deleted"), resyncs.alias("resyncs"), (added + deleted + resyncs > 0).alias("changed"), F.col("target").alias("mirror_count_after"), says.alias("message"))
+
+
 def unfinished(results: DataFrame) -> DataFrame:
     """path_b64 and layout_changed of the files that a run touched but didn't finish."""
     return results.where("rc <> 0").select("file_id", scalars.base64_text(F.col("path")).alias("path_b64"), F.col("changed").alias("layout_changed"))

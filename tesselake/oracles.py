@@ -149,10 +149,46 @@ _SQL = {
       union all select 'allowed', cast(count(*) as int) from v_allowed where ost_index not in (select ost_index from v_banned)
       union all select 'absent pool', null
       union all select pool, cast(count_if(ost_index not in (select ost_index from v_banned)) as int) from v_pool_members group by pool""",
+    "stale_components": "select file_id, comp_ord from v_components where (flags // 32) % 2 = 1 and (flags // 128) % 2 = 0",
+    "target_text": """with x as (select file_id, list_transform(range(1, file_id % 40 + 2), lambda i: ((file_id * i * 37) % 65536)::varchar) as l from v_files)
+      select file_id, array_to_string(list_filter(l, lambda v, i: i = 1 or len(array_to_string(l[1:i - 1], ',')) < 88), ',') as osts from x""",
+    "allocation": """with u as (select p.pool as scope, ' in pool ' || p.pool as place, count_if(b.ost_index is null) as n from v_pool_members p left join v_banned b using (ost_index) group by p.pool
+        union all select 'catalogue', '', (select count(*) from v_osts) - (select count(*) from v_banned))
+      select scope, n >= 31 as possible, case when n >= 31 then 0 else 28 end as errno,
+        case when n < 31 then printf('only %d OST%s outside the banned set%s, but a new mirror needs 31 stripes; nothing was changed', n, case when n = 1 then '' else 's' end, place) end as message from u""",
+    "copy_plan": """with f as (select file_id, file_size as z, file_size // 2 as h, case when (file_id % 7 + 1) * 2048 < 4096 then 4194304 else (file_id % 7 + 1) * 2048 end as buf from v_files where file_size > 0),
+      e as (select *, case when file_id % 2 = 0 then 0 else h end as o, case when file_id % 2 = 0 then z - h else z end as stop from f),
+      g as (select file_id, buf, (stop + 4095) // 4096 * 4096 as top, unnest(range(o // 4096 * 4096, (stop + 4095) // 4096 * 4096, buf)) as pos from e)
+      select file_id, 'copy' as action, pos, least(buf, top - pos) as length from g union all select file_id, 'truncate', z, 0 from e where stop < z""",
+    "new_mirror_unrestricted": f"""with {_MIRRORS}, q as (select file_id, max(mirror_id) as newest from m group by file_id),
+      k as (select q.file_id, q.newest, m.banned, m.usable, q.file_id % 5 <> 0 as grown from q join m on m.file_id = q.file_id and m.mirror_id = q.newest)
+      select file_id, cast(case when grown then newest else 0 end as int) as added_id, case when not grown then 16 when banned or not usable then 22 else 0 end as errno,
+        case when not grown then 'layout changed' when banned then 'banned' when not usable then 'not usable' else 'accepted' end as verdict from k""",
+    "allowed_sets": """with b as (select file_id, comp_ord, min(stripe_idx) as cut from v_objects where ost in (select ost_index from v_banned) group by all),
+      x as (select file_id, comp_ord from v_objects left join b using (file_id, comp_ord) where ost not in (select ost_index from v_allowed) and stripe_idx <= coalesce(cut, 99))
+      select 'listed' as allowed, (select count(*) from (select distinct file_id, comp_ord from x)) as components, (select count(*) from x) as stripes union all select 'no list', 0, 0""",
+    "declared_mirrors": f"""with {_VERDICT}, w as (select * replace (case when error = 0 and file_id % 4 > 1 and file_id % 4 <> mirrors then 22 else error end as error) from v)
+      select file_id, {', '.join(f'case when error = 0 then {c} end as {c}' for c in ('mirrors', 'banned', 'safe', 'usable', 'any_stale', 'needs_resync'))}, error from w""",
+    "goal_actions": f"""with {_TARGET} select file_id, 1 as step, 'SET' as action, target::varchar as value from d where not done and mode = 'keep'
+      union all select file_id, case when not done and mode = 'keep' then 2 else 1 end, 'REMOVE', null from d where recorded_goal is not null or not done and mode = 'keep'""",
+    "projected_result": f"""with {_TARGET}{_COUNTS}, n as (select *, projected_add_first + projected_add as a, projected_delete_banned + projected_delete_surplus as x, projected_resync_first::int + projected_resync_last::int as r from p)
+      select file_id, path, a::int as mirrors_added, x::int as mirrors_deleted, r as resyncs, a > 0 or x > 0 or r > 0 as changed, target::int as mirror_count_after,
+        'migrated: ' || target::int || ' mirror' || case when target = 1 then '' else 's' end || ', none on a banned OST; added ' || a || ', deleted ' || x || ', resynced ' || r as message from n join v_files using (file_id)""",
+    "resolve_path": """with f as (select file_id, string_split(path, '/') as l, st_dev, file_id % 23 = 0 as odd from v_files),
+      c as (select *, case when l[3] = 'p' then 'p' when regexp_full_match(l[4], 'd[0-9]*7') then l[4] end as far from f), a as (select unnest([false, true]) as other_devices),
+      v as (select file_id, other_devices, far, case when not other_devices and far is not null then 'component on another file system' when odd then 'not a regular file' when not other_devices and st_dev <> 1 then 'file on another file system' else 'ok' end as verdict from c, a)
+      select file_id, verdict, case when verdict like 'component%' then far end as component, case when verdict = 'ok' then 0 else 22 end as errno, other_devices from v""",
+    "identity_match": """with e as (select *, st_dev + (file_id % 10 = 3)::int as xd, st_ino + (file_id % 10 = 4)::int as xi from v_files)
+      select file_id, case when file_id % 10 in (3, 4) then 116 else 0 end as errno, case when file_id % 10 in (3, 4) then format('the name now refers to a different file: caller expected dev/ino {}/{}, found {}/{}', xd, xi, st_dev, st_ino) end as message from e""",
+    "file_system_names": """with v as (select file_id as k, case when file_id % 21 = 0 then 'other file system' when file_id % 4 < 3 and file_id % 11 = 0 then 'allowed target of another file system' when file_id % 8 = 2 then 'banned target of another file system'
+        when file_id % 7 = 1 then 'pool of another file system' when file_id % 7 = 0 and (file_id % 20 = 0 or file_id % 20 > 15) then 'invalid pool name' else 'ok' end as verdict from v_files)
+      select k as request_id, verdict, case when verdict = 'ok' then case k % 7 when 0 then repeat('p', k % 20) when 2 then 'gold' end end as pool, case when verdict = 'ok' then 0 else 22 end as errno from v""",
+    "manifest_links": """with m as (select * from v_files where file_id % 6 <> 1 and st_nlink > 1)
+      select path, st_dev, st_ino, cast(count(*) over w as int) as listed, max(st_nlink) over w as links, count(*) over w >= max(st_nlink) over w as complete from m window w as (partition by st_dev, st_ino)""",
     "stale_range": "select file_id, cast(count(*) as int) as n, min(ext_start) as range_start, max(ext_end) as range_end from v_components where (flags & 32) <> 0 and (flags & 128) = 0 group by file_id",
-    "layout_description": """with c as (select file_id, count(distinct mirror_id) as mm, count(*) as n, count_if((flags & 16) <> 0) as i, arg_min(stripe_count, comp_ord) as sc, arg_min(pool, comp_ord) as pool from v_components group by file_id),
+    "layout_description": """with c as (select file_id, count(distinct mirror_id) as mm, count(*) as n, count_if((flags & 16) <> 0) as i, arg_min(stripe_count, comp_ord) as sc, any_value(file_id % 5 + 1) * 65536 as sz, arg_min(pool, comp_ord) as pool from v_components group by file_id),
       o as (select file_id, string_agg(ost, ',' order by stripe_idx) as osts from v_objects where comp_ord = 1 group by file_id)
-      select file_id, printf('flr_state=%s mirrors=%d components=%d init=%d stripe_count=%d pool=%s osts=[%s]', case when flr_state = 0 then '0' else '0x' || flr_state end, mm, n, i, sc, case when pool = '' then '-' else pool end, coalesce(osts, '-')) as description
+      select file_id, printf('flr_state=%s mirrors=%d components=%d init=%d stripe_count=%d stripe_size=%d pool=%s osts=[%s]', case when flr_state = 0 then '0' else '0x' || flr_state end, mm, n, i, sc, sz, case when pool = '' then '-' else pool end, coalesce(osts, '-')) as description
       from c join v_files using (file_id) left join o using (file_id)""",
     "copy_chunks": """with e as (select file_id, (file_id * 1237) % 100000 as o, file_size as s from v_files where file_size > 0),
       b as (select file_id, o // 4096 * 4096 as a, (o + s + 4095) // 4096 * 4096 as z from e), g as (select file_id, z, unnest(range(a, z, 1048576)) as pos from b)
@@ -170,7 +206,7 @@ _SQL = {
     "delete_guard": f"""with {_MIRRORS}, g as (select m.file_id, mirror_id, case mirror_id % 3 when 0 then 'BANNED' when 1 then 'SURPLUS' else 'ROLLBACK' end as reason, m.banned, coalesce(target_opt, 1) as target,
         (select count(*) from m x where x.file_id = m.file_id) as n, (select count(*) from m x where x.file_id = m.file_id and x.mirror_id <> m.mirror_id and x.usable) as others from m join v_files f using (file_id)),
       h as (select *, case when others < 1 then 'no usable copy left' when reason = 'BANNED' and not banned then 'no longer banned' when reason = 'SURPLUS' and n <= target then 'nothing is surplus' else 'allowed' end as verdict from g)
-      select file_id, mirror_id, reason, verdict, case when verdict = 'allowed' then 0 else 11 end as errno from h""",
+      select file_id, mirror_id, reason, case reason when 'BANNED' then 'banned' when 'ROLLBACK' then 'rollback of the mirror just added' else 'surplus' end as reason_text, verdict, case when verdict = 'allowed' then 0 else 11 end as errno from h""",
     "new_mirror": f"""with {_MIRRORS}, cut as (select file_id, comp_ord, min(stripe_idx) as z from v_objects where ost in (select ost_index from v_banned) group by all),
       ou as (select file_id, mirror_id, count(*) as n_out from v_objects left join cut using (file_id, comp_ord) where ost not in (select ost_index from v_allowed) and stripe_idx <= coalesce(z, 99) group by all),
       q as (select file_id, max(mirror_id) as newest from m group by file_id),
@@ -190,7 +226,7 @@ _SQL = {
       select file_id, cast(row_number() over (partition by file_id order by part, nth) as int) as step, action, cast(mirror_id as int) as mirror_id, reason from steps""",
     "result_record": f"""with {_RESULT} select file_id, '{{"schema":2,"status":"' || case when good then 'ok' else 'error' end || '","rc":' || case when good then 0 when error in (4, 11, 16, 37, 110, 116) then 3 else 1 end
       || ',"retryable":' || case when error in (4, 11, 16, 37, 110, 116) then 'true' else 'false' end || ',"program":"tesselake","program_version":"1.0","path_b64":"' || {_b64("path")} || '","root_b64":"' || {_b64("'/fs0'")}
-      || '","changed":false,"pending_layout":false,"initial_mirror_count":' || coalesce(initial::varchar, 'null') || ',"mirror_count_before":' || coalesce(mirrors::varchar, 'null') || ',"mirror_count_after":' || coalesce(mirrors::varchar, 'null')
+      || '"' || case when file_id % 13 <> 0 then printf(',"fid":"[0x%x:0x%x:0x0]"', 8589935616 + file_id % 7, file_id) else '' end || ',"changed":false,"pending_layout":false,"initial_mirror_count":' || coalesce(initial::varchar, 'null') || ',"mirror_count_before":' || coalesce(mirrors::varchar, 'null') || ',"mirror_count_after":' || coalesce(mirrors::varchar, 'null')
       || ',"banned_mirrors_before":' || coalesce(banned::varchar, 'null') || ',"banned_mirrors_after":' || coalesce(banned::varchar, 'null') || ',"target_mirror_count":' || coalesce(target::varchar, 'null')
       || ',"mirrors_added":0,"mirrors_deleted":0,"resyncs":0,"allocation_retries":0,"message":"' || message || '"' || case when good then '' else ',"stage":"analyse","errno":' || error end || '}}' as record from r""",
     "result_text": f"""with {_RESULT} select file_id, case when good then printf('tesselake: %s: ok (mirrors %d -> %d, banned %d -> %d, added 0, deleted 0, resyncs 0): %s', path, mirrors, mirrors, banned, banned, message)
@@ -202,7 +238,7 @@ _SQL = {
     "protection_verdict": "with b as (select distinct pool from v_pool_members where ost_index in (select ost_index from v_banned)), h as (select pool not in (select pool from b) as ok from v_pool_members) select case when bool_and(ok) then 'enforced' when bool_or(ok) then 'partial' else 'not_enforced' end as protection from h",
     "hardlink_groups": "select st_dev, st_ino, cast(count(*) as int) as names, max(st_nlink) as links, count(*) >= max(st_nlink) as complete from v_files where st_nlink > 1 group by st_dev, st_ino",
     "tree_diff": """with b as (select case when file_id % 59 = 0 then path || '~' else path end as path, case when file_id % 61 <> 0 then file_size end as file_size, flr_state + case when file_id % 67 = 0 then 1 else 0 end as flr_state from v_files where file_id % 53 <> 0)
-      select coalesce(a.path, b.path) as path, case when b.path is null then 'missing' when a.path is null then 'extra' else concat_ws(',', case when a.file_size is distinct from b.file_size then 'file_size' end, case when a.flr_state is distinct from b.flr_state then 'flr_state' end) end as difference
+      select coalesce(a.path, b.path) as path, case when b.path is null then 'missing' when a.path is null then 'extra' else concat_ws(',', case when a.file_size is distinct from b.file_size then 'file_size' end, case when a.flr_state is distinct from b.flr_state then 'flr_state' end) end as difference, b.path is null as failed
       from v_files a full join b on a.path = b.path where a.path is null or b.path is null or a.file_size is distinct from b.file_size or a.flr_state is distinct from b.flr_state""",
     "restore_order": """with one as (select distinct regexp_replace(path, '/[^/]*$', '') as path from v_files), two as (select distinct regexp_replace(path, '/[^/]*$', '') as path from one), three as (select distinct regexp_replace(path, '/[^/]*$', '') as path from two),
       x as (select path, false as is_dir from v_files union all select path, true from one union all select path, true from two union all select path, true from three)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tesselake import schema as S
 from tesselake.functions import scalars
+from tesselake.operators import lookups
 
 
 def read_goal(text: Column, legacy_present: Column | None = None) -> tuple[Column, Column]:
@@ -44,18 +45,35 @@ def dry_run(targeted: DataFrame, usable_osts: DataFrame, needed: int = 1, any_ba
     """file_id, message of what a run would do. Capacity is only looked at where the file as it is needs a new mirror."""
     t = targeted.where("error = 0").join(F.broadcast(usable_osts.withColumnRenamed("usable", "usable_osts")))
     new = (F.col("usable") == 0) | (F.col("mirrors") < F.col("target"))
-    short = new & F.lit(any_banned) & F.coalesce(F.col("usable_osts") < needed, F.lit(False))
+    short = new & ~lookups.allocation_possible(F.col("usable_osts"), needed, F.lit(any_banned))
     says = F.format_string("would migrate: %d of %d mirrors on banned OSTs, %d usable, target mirror count %d", "banned", "mirrors", "usable", "target")
     more = F.format_string("; but only %d OST%s lie outside the banned set and a new mirror needs %d", "usable_osts", scalars.plural(F.col("usable_osts")), F.lit(needed))
     message = F.when(is_done(), "already in the requested state").otherwise(F.concat(says, F.when(short, more).otherwise("")))
     return t.select("file_id", new.alias("needs_new_mirror"), message.alias("message"))
 
 
+def inspected() -> Column:
+    """What an inspection says of a file that could be read."""
+    unfinished = F.when(F.col("recorded_goal") > 0, "; an earlier run did not finish and recorded its mirror goal on this file").otherwise("")
+    says = F.format_string("inspected: %d mirrors, %d on banned OSTs, %d usable, size %d%s", "mirrors", "banned", "usable", "file_size", unfinished)
+    return F.when(is_done(), "already in the requested state").otherwise(says)
+
+
 def inspection(files: DataFrame, targeted: DataFrame) -> DataFrame:
     """file_id, message of an inspection."""
     t = targeted.where("error = 0").join(files.select("file_id", "file_size"), "file_id")
-    says = F.format_string("inspected: %d mirrors, %d on banned OSTs, %d usable, size %d%s", "mirrors", "banned", "usable", "file_size", F.when(F.col("recorded_goal") > 0, "; an earlier run did not finish and recorded its mirror goal on this file").otherwise(""))
-    return t.select("file_id", F.when(is_done(), "already in the requested state").otherwise(says).alias("message"))
+    return t.select("file_id", inspected().alias("message"))
+
+
+def goal_actions(targeted: DataFrame) -> DataFrame:
+    """file_id, step, action, value: planned changes of the recorded goal. A run that keeps mirrors writes its target before it
+    changes anything, and every run that ends well leaves no goal (none being there counts as cleared)."""
+    t = targeted.where("error = 0").withColumn("done", is_done())
+    had = F.coalesce("recorded_goal", F.lit(0)) > 0
+    writes = ~F.col("done") & (F.col("mode") == "keep")
+    wanted = F.array(F.struct(writes.alias("go"), F.lit("SET").alias("action"), F.col("target").cast("string").alias("value")), F.struct((writes | had).alias("go"), F.lit("REMOVE").alias("action"), F.lit(None).cast("string").alias("value")))
+    steps = t.select("file_id", F.posexplode(F.filter(wanted, lambda x: x["go"])).alias("at", "act"))
+    return steps.select("file_id", (F.col("at") + 1).cast("int").alias("step"), "act.action", "act.value")
 
 
 def pick_banned(mirrors: DataFrame) -> DataFrame:
@@ -79,9 +97,17 @@ def delete_guard(mirrors: DataFrame, requested: DataFrame) -> DataFrame:
 
     In this order: the mirror must be there, another usable one must be left, and the reason must still hold.
     """
+    return guarded(requested.join(with_others(mirrors).select("file_id", "mirror_id", "banned", "n", "others"), ["file_id", "mirror_id"], "left"))
+
+
+def with_others(mirrors: DataFrame) -> DataFrame:
+    """Adds the file's number of mirrors, and how many usable ones it has besides this one."""
     file = Window.partitionBy("file_id")
-    m = mirrors.withColumn("n", F.count(F.lit(1)).over(file)).withColumn("others", F.count_if(~F.col("banned") & F.col("usable")).over(file) - (~F.col("banned") & F.col("usable")).cast("int"))
-    g = requested.join(m.select("file_id", "mirror_id", "banned", "n", "others"), ["file_id", "mirror_id"], "left")
+    return mirrors.withColumn("n", F.count(F.lit(1)).over(file)).withColumn("others", F.count_if(~F.col("banned") & F.col("usable")).over(file) - (~F.col("banned") & F.col("usable")).cast("int"))
+
+
+def guarded(g: DataFrame) -> DataFrame:
+    """The verdict on requests (reason, target) that stand beside their mirrors and ``with_others``."""
     verdict = (
         F.when(F.col("n").isNull(), "gone")
         .when(F.col("others") < 1, "no usable copy left")
@@ -89,18 +115,18 @@ def delete_guard(mirrors: DataFrame, requested: DataFrame) -> DataFrame:
         .when((F.col("reason") == "SURPLUS") & (F.col("n") <= F.col("target")), "nothing is surplus")
         .otherwise("allowed")
     )
-    return g.select("file_id", "mirror_id", "reason", verdict.alias("verdict"), F.when(verdict == "allowed", 0).otherwise(S.EAGAIN).cast("int").alias("errno"))
+    return g.select("file_id", "mirror_id", "reason", scalars.delete_reason(F.col("reason")).alias("reason_text"), verdict.alias("verdict"), F.when(verdict == "allowed", 0).otherwise(S.EAGAIN).cast("int").alias("errno"))
 
 
-def new_mirror(before: DataFrame, after: DataFrame, outside: DataFrame | None = None) -> DataFrame:
-    """The mirror that appeared between two snapshots of a file's mirrors (before: file_id, mirrors), and whether it may stay.
+def new_mirror(before: DataFrame | Column, after: DataFrame, outside: DataFrame | None = None) -> DataFrame:
+    """The mirror that appeared between two snapshots of a file's mirrors (before: file_id, mirrors; or a column over file_id and n, the mirrors after), and whether it may stay.
 
     There must be just one more than before (else EBUSY and id 0). The newest has the greatest id; it is
     refused when banned, off the allowed targets, or not usable.
     """
     after = after.join(outside, ["file_id", "mirror_id"], "left") if outside is not None else after.withColumn("outside", F.lit(0))
     newest = after.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("mirror_id", "banned", "outside", "usable"), "mirror_id").alias("new"))
-    j = before.join(newest, "file_id")
+    j = newest.withColumn("mirrors", before) if isinstance(before, Column) else before.join(newest, "file_id")
     grown = F.col("n") == F.col("mirrors") + 1
     errno = F.when(~grown, S.EBUSY).when(F.col("new.banned") | (F.coalesce("new.outside", F.lit(0)) > 0) | ~F.col("new.usable"), S.EINVAL).otherwise(0)
     why = F.when(~grown, "layout changed").when(F.col("new.banned"), "banned").when(F.coalesce("new.outside", F.lit(0)) > 0, "outside allowed").when(~F.col("new.usable"), "not usable").otherwise("accepted")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tesselake import schema as S
 from tesselake.functions import scalars
-from tesselake.operators import jobs, layout, lookups, report
+from tesselake.operators import jobs, layout, lookups, report, resolve
 from tesselake.plans import decide, validate
 from tesselake.sources.fixtures import view
 
@@ -134,8 +134,35 @@ def stale_range(t):
     return lookups.stale_range(t.components)
 
 
+def stale_components(t):
+    return lookups.stale_components(t.components)
+
+
 def layout_description(t):
-    return lookups.describe(t.files, t.components, t.objects)
+    return lookups.describe(t.files, t.components.withColumn("stripe_size", (F.col("file_id") % 5 + 1) * 65536), t.objects)
+
+
+def target_text(t):
+    osts = F.transform(F.sequence(F.lit(1), (F.col("file_id") % 40 + 1).cast("int")), lambda i: (F.col("file_id") * i * 37) % 65536)
+    return t.files.select("file_id", scalars.target_text(osts).alias("osts"))
+
+
+def allocation(t):
+    usage = lookups.pool_usage(t.osts, t.banned, t.pool_members).select("pool", "usable").unionByName(t.usable_osts().select(F.lit(None).cast("string").alias("pool"), "usable"))
+    return lookups.allocation(usage, needed=31)
+
+
+def copy_plan(t):
+    files = t.files.select("file_id", "file_size", scalars.copy_buffer((F.col("file_id") % 7 + 1) * 2048).alias("buffer"))
+    half = F.floor(F.col("file_size") / 2).cast("long")
+    extents = files.where("file_size > 0").select("file_id", F.when(F.col("file_id") % 2 == 0, 0).otherwise(half).cast("long").alias("data_off"), (F.col("file_size") - half).alias("data_size"))
+    return lookups.copy_plan(extents, files)
+
+
+def fid_of(t):
+    """A file identifier for most files."""
+    k = F.col("file_id")
+    return t.files.withColumn("fid", F.when(k % 13 != 0, scalars.file_id_text(k % 7 + 8589935616, k, F.lit(0))))
 
 
 def copy_chunks(t):
@@ -175,18 +202,76 @@ def pick_surplus(t):
 
 
 def delete_guard(t):
-    asked = t.mirrors().select("file_id", "mirror_id", F.when(F.col("mirror_id") % 3 == 0, "BANNED").when(F.col("mirror_id") % 3 == 1, "SURPLUS").otherwise("ROLLBACK").alias("reason"))
-    asked = asked.join(t.files.select("file_id", F.coalesce("target_opt", F.lit(1)).alias("target")), "file_id")
-    return decide.delete_guard(t.mirrors(), asked)
+    reason = F.when(F.col("mirror_id") % 3 == 0, "BANNED").when(F.col("mirror_id") % 3 == 1, "SURPLUS").otherwise("ROLLBACK")
+    asked = decide.with_others(t.mirrors()).withColumn("reason", reason)
+    return decide.guarded(asked.join(t.files.select("file_id", F.coalesce("target_opt", F.lit(1)).alias("target")), "file_id"))
 
 
 def new_mirror(t):
     m = t.mirrors()
-    before = m.groupBy("file_id").agg((F.count(F.lit(1)) - F.when(F.col("file_id") % 5 == 0, 0).otherwise(1)).alias("mirrors"))
+    before = F.col("n") - F.when(F.col("file_id") % 5 == 0, 0).otherwise(1)
     outside = layout.outside_allowed(t.objects, t.banned, t.allowed).join(t.components.select("file_id", "comp_ord", "mirror_id"), ["file_id", "comp_ord"]).groupBy("file_id", "mirror_id").agg(F.sum("outside").alias("outside"))
     return decide.new_mirror(before, m, outside)
 
 
+def new_mirror_unrestricted(t):
+    """With an empty list of allowed targets everything is allowed."""
+    m = t.mirrors()
+    outside = layout.outside_allowed(t.objects, t.banned, t.allowed.where("false")).join(t.components.select("file_id", "comp_ord", "mirror_id"), ["file_id", "comp_ord"]).groupBy("file_id", "mirror_id").agg(F.sum("outside").alias("outside"))
+    return decide.new_mirror(F.col("n") - F.when(F.col("file_id") % 5 == 0, 0).otherwise(1), m, outside)
+
+
+def allowed_sets(t):
+    """Components and stripes off the allowed targets, for a list and for none."""
+    count = lambda allowed, name: layout.outside_allowed(t.objects, t.banned, allowed).agg(F.lit(name).alias("allowed"), F.count(F.lit(1)).alias("components"), F.coalesce(F.sum("outside"), F.lit(0)).alias("stripes"))
+    return count(t.allowed, "listed").unionByName(count(t.allowed.where("false"), "no list"))
+
+
+def declared_mirrors(t):
+    declared = t.files.select("file_id", (F.col("file_id") % 4).cast("int").alias("declared"))
+    return layout.verdicts(t.files, t.components, t.objects, t.banned, t.pool_members, declared)
+
+
+def goal_actions(t):
+    return decide.goal_actions(t.targets())
+
+
+def projected_result(t):
+    return report.projected(t.files, decide.plan_counts(t.states()).drop("by_slot"))
+
+
+def directories_of(t):
+    """The directories above the files; a few are mount points of device 9."""
+    one = t.files.select(F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct()
+    both = one.unionByName(one.select(F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct())
+    return both.select("path", F.when(F.col("path").rlike("/(p|d[0-9]*7)$"), 9).otherwise(1).cast("long").alias("st_dev"))
+
+
+def resolve_path(t):
+    files = t.files.select("file_id", "path", "st_dev", F.when(F.col("file_id") % 23 == 0, 0o120777).otherwise(0o100644).alias("st_mode"))
+    both = [resolve.resolve(files, directories_of(t), ROOT, 1, allow).withColumn("other_devices", F.lit(allow)) for allow in (False, True)]
+    return both[0].unionByName(both[1])
+
+
+def identity_match(t):
+    expected = t.files.select("file_id", (F.col("st_dev") + F.when(F.col("file_id") % 10 == 3, 1).otherwise(0)).alias("expected_dev"), (F.col("st_ino") + F.when(F.col("file_id") % 10 == 4, 1).otherwise(0)).alias("expected_ino"))
+    return resolve.identity(t.files, expected)
+
+
+def file_system_names(t):
+    k, text = F.col("file_id"), lambda x: x.cast("string")
+    name = lambda odd, n: F.concat(F.when(odd, "other").otherwise(FSNAME), F.lit("-OST"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    requests = t.files.select(
+        k.alias("request_id"), F.when(k % 3 == 0, F.when(k % 21 == 0, "fs1").otherwise(FSNAME)).alias("expected_fsname"), F.when(k % 4 < 3, F.array(text(k % 9), name(k % 11 == 0, k % 16))).alias("allowed"),
+        F.when(k % 2 == 0, F.array(name(k % 8 == 2, k % 64))).alias("banned"), F.when(k % 7 == 0, F.concat(F.lit("fs0."), F.repeat(F.lit("p"), (k % 20).cast("int")))).when(k % 7 == 1, "fs2.gold").when(k % 7 == 2, "gold").alias("pool_name"),
+    )
+    return resolve.file_system(requests, FSNAME)
+
+
+def manifest_links(t):
+    return jobs.manifest_links(t.files.where("file_id % 6 <> 1").select("path"), t.files)
+
+
 def retry_policy(t):
     outcomes = t.components.select("file_id", F.col("comp_ord").alias("attempt"), (F.col("ost0") % 10 != 0).alias("ok"))
     return decide.retries(outcomes, attempts=3)
@@ -222,7 +307,7 @@ def request_validation(t):
 
 
 def result_record(t):
-    return report.results(t.files, t.targets()).select("file_id", report.record_json(ROOT).alias("record"))
+    return report.results(fid_of(t), t.targets()).select("file_id", report.record_json(ROOT).alias("record"))
 
 
 def result_text(t):
@@ -287,6 +372,7 @@ ALL = [
     components_scan, objects_scan, pool_scan, parse_ost, ost_name, path_lexical, placement, error_class, mirror_state, coverage, zero_length_rule, scan_errors,
     mirror_slots, layout_verdict, banned_objects, outside_allowed, bad_pools, unknown_osts, usable_osts, stale_range, layout_description, copy_chunks, target_count, goal_read,
     done, dry_run, inspection, pick_banned, pick_surplus, delete_guard, new_mirror, retry_policy, plan_counts, plan_actions, request_validation, result_record, result_text, unfinished,
+    stale_components, target_text, allocation, copy_plan, new_mirror_unrestricted, allowed_sets, declared_mirrors, goal_actions, projected_result, resolve_path, identity_match, file_system_names, manifest_links,
     accounting, exit_code, remaining_tasks, protection_verdict, hardlink_groups, tree_diff, restore_order, rollback_selection, last_status,
 ]
 

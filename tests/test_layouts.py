@@ -106,3 +106,30 @@ def test_coverage_window_equals_fold(spark):
     scanned = layout.scan(components, files)
     window = scanned.groupBy("file_id").agg(F.bool_or("gap").alias("w"))
     assert layout.coverage(scanned).join(window, "file_id").where("has_gap <> w").count() == 0
+
+
+def test_components_are_shuffled_once(spark):
+    """Windows, the join with banned objects and both aggregations keep to one partitioning by file."""
+    import re
+
+    components = spark.range(1000).selectExpr("id % 100 as file_id", "cast(id / 100 as int) as comp_ord", "1 as mirror_id", "16L as flags", "0L as ext_start", "9L as ext_end", "0 as pattern", "1 as stripe_count", "'' as pool", "true as has_objects")
+    files = spark.range(100).selectExpr("id as file_id", "6L as file_size", "0 as flr_state")
+    objects = spark.range(1000).selectExpr("id % 100 as file_id", "cast(id / 100 as int) as comp_ord", "1 as mirror_id", "0 as stripe_idx", "cast(id % 7 as int) as ost")
+    one = spark.createDataFrame([(1,)], "ost_index int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = layout.verdicts(files, components, objects, one, spark.createDataFrame([("p", 1)], "pool string, ost_index int"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert sum(k.startswith("file_id") for k in keys) == 3  # components, files and the banned objects' files, each once
+    assert not any("mirror_id" in k or "comp_ord" in k for k in keys)
+
+
+def test_an_empty_list_allows_everything(spark):
+    objects = spark.createDataFrame([(1, 1, 1, 0, 3), (1, 1, 1, 1, 4)], S.OBJECTS)
+    none, some = spark.createDataFrame([], "ost_index int"), spark.createDataFrame([(3,)], "ost_index int")
+    assert layout.outside_allowed(objects, none, none).count() == 0
+    assert [tuple(r) for r in layout.outside_allowed(objects, none, some).collect()] == [(1, 1, 1)]

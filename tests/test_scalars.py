@@ -88,3 +88,29 @@ def test_log_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r)[1:] for r in spark.sql("select * from job_log").collect()] == [(1, 1, 2, 1)]
+
+
+def test_remaining_records_can_be_replayed(spark, tmp_path):
+    records = spark.createDataFrame([("/a b",), ("/é",), ("/c\nd",)], "path string")
+    jobs.write_manifest(records, str(tmp_path / "left"))
+    rows, complete = jobs.read_manifest(spark, str(tmp_path / "left"))
+    assert sorted(bytes(r[0]).decode() for r in rows.collect()) == ["/a b", "/c\nd", "/é"] and complete.first()[0] is True
+    assert jobs.read_manifest(spark, str(tmp_path / "left"), most=3)[1].first()[0] is False
+
+
+def test_messages_are_cut_by_bytes(spark):
+    assert values(spark, ["aé" * 3], scalars.json_escaped(scalars.first_bytes(F.col("x"), 5))) == ["a\\u00c3\\u00a9a\\u00c3"]
+    assert values(spark, ["plain text", 'a"b', None], scalars.json_escaped(F.col("x"))) == ["plain text", 'a\\"b', None]
+
+
+def test_restore_order_in_ranges(spark):
+    paths = [f"/r/d{i % 7}/f{i}" for i in range(300)]
+    entries = spark.createDataFrame([(p, False) for p in paths] + [(f"/r/d{i}", True) for i in range(7)] + [("/r", True)], "path string, is_dir boolean")
+    got = [r["path"] for r in jobs.restore_order(entries, ranges=5).orderBy("place").collect()]
+    assert got == sorted(paths) + [f"/r/d{i}" for i in range(7)] + ["/r"]
+    assert jobs.restore_order(entries.limit(0)).count() == 0
+
+
+def test_target_text_has_fixed_room(spark):
+    found = values(spark, [[65535] * 40, [1, 2], []], scalars.target_text(F.col("x")), "x array<int>")
+    assert found == [",".join(["65535"] * 15), "1,2", ""]
