@@ -41,6 +41,7 @@ class Shelf:
         self.spark, self.dir, self.tables = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
         path = spark._jvm.org.apache.hadoop.fs.Path(self.dir)
         self.files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.files.mkdirs(path)  # only what is there can be marked
         self.files.deleteOnExit(path)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:

@@ -82,5 +82,30 @@ def op10_language(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_neighbours, op2_toxicity, op3_substring_dedup, op4_decontamination, op5_token_counts, op6_byte_bpe, op7_sharding, op8_main_text, op9_near_duplicates, op10_language)}
-#: DuckDB's SQL has neither these hashes nor iterative models; the queries are tested against brute force instead.
-ORACLE_SQL: dict[str, str] = {}
+#: The queries whose rows SQL can tell. The others need trained models, tokenizers, markup, hashes or checksums that DuckDB's SQL
+#: lacks, or are approximate (op1); they are tested against brute force instead.
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": r"""
+with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as l from documents),
+places as (select doc_id, unnest(range(1, greatest(1, len(l) - 11))) as i, l from docs),
+windows as (select doc_id, i, array_to_string(l[i:i + 12], ' ') as w from places),
+firsts as (select w, min(doc_id) as f from windows group by w),
+hit as (select doc_id, i from windows join firsts using (w) where f < doc_id),
+gone as (select distinct doc_id, i + k as pos from hit, (select unnest(range(0, 13)) as k)),
+words as (select doc_id, unnest(l) as word, unnest(range(1, len(l) + 1)) as pos from docs),
+kept as (select doc_id, string_agg(word, ' ' order by pos) as t, count(*) as n from words anti join gone using (doc_id, pos) group by doc_id)
+select doc_id, len(l) as n_words, len(l) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from docs left join kept using (doc_id)""",
+    "op9_near_duplicates": r"""
+with recursive docs as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') as l from documents),
+shingles as (
+  select doc_id, array_to_string(l[i:i + 4], ' ') as s, count(*) as tf from (select doc_id, l, unnest(range(1, len(l) - 3)) as i from docs where len(l) >= 5) group by all
+  union all select doc_id, array_to_string(l, ' '), 1 from docs where len(l) between 1 and 4),
+known as (select s, count(*) as df from shingles group by s),
+weighed as (select doc_id, s, tf * (1 + ln(n / df) / ln(greatest(2, n))) as w from shingles join known using (s), (select count(*)::double as n from documents)),
+sums as (select doc_id, sum(w) as t from weighed group by doc_id),
+shared as (select a.doc_id as u, b.doc_id as v, sum(least(a.w, b.w)) as m from weighed a join weighed b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select u, v from shared join sums x on x.doc_id = u join sums y on y.doc_id = v where m >= 0.8 * (x.t + y.t - m)),
+both_ways as (select u, v from links union all select v, u from links),
+reach(doc_id, c) as (select doc_id, doc_id from docs union select v, c from reach join both_ways on u = reach.doc_id)
+select doc_id, min(c) as class_id from reach group by doc_id""",
+}
