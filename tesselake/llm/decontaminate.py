@@ -1,7 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Benchmark items are taken in blocks of bounded size, each broadcast with the hashes of its runs of SEED
-words. A document joins an item where they share such a run. For each joined pair the longest common runs
+Benchmark items are taken in blocks of bounded size, one at a time, each broadcast with the hashes of its runs of LEAST
+words (its seeds). A document joins an item where they share such a run. For each joined pair the longest common runs
 are found by Karp-Rabin hashing and marked as tiles, longest first, never overlapping, down to runs of
 LEAST words; moved and reordered passages are tiles like others. The share of the item's words under tiles
 is its coverage, and COVERAGE or more means that the document holds the item.
@@ -15,6 +15,7 @@ their own; empty tables give an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselake.llm.common import gram_hashes
+from tesselake.llm.common import Shelf, gram_hashes, release
 
 #: Words of the shortest tile, share of an item's words under tiles, and UTF-8 bytes of items broadcast at once.
 LEAST, COVERAGE, BLOCK_BYTES = 5, 0.6, 4 << 20
@@ -161,15 +162,35 @@ def blocks(benchmark: DataFrame, size: int = BLOCK_BYTES):
 SCHEMA = "doc_id long, item_id long, coverage double, words long, tiles long"
 
 
+def _in_blocks(start: DataFrame, benchmark: DataFrame, block_bytes: int, name: str, step):
+    """step(block) for each block of items. Where there are several, each is broadcast alone: its result is stored before the next."""
+    shelf, before = None, None
+    for block in blocks(benchmark, block_bytes):
+        if before is not None:
+            shelf = shelf or Shelf(start.sparkSession, name)
+            yield from _stored(start, before, shelf, step)
+        before = block
+    if before is not None:
+        if shelf is None:
+            yield step(start.sparkSession.sparkContext.broadcast(before))
+        else:
+            yield from _stored(start, before, shelf, step)
+
+
+def _stored(start: DataFrame, block, shelf: Shelf, step):
+    shared = start.sparkSession.sparkContext.broadcast(block)
+    yield shelf.put(step(shared), "block")
+    shared.destroy()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, coverage, words, tiles of every item that a document holds; one narrow pass for each block."""
     spark = docs.sparkSession
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def one(block) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
-
+    def one(shared) -> DataFrame:
         def find(batches):
+            release()
             items = Items(shared.value)
             for batch in batches:
                 rows = [(d, *x) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for x in items.held_in(t)]
@@ -179,25 +200,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
 
         return some.mapInArrow(find, SCHEMA)
 
-    out = None
-    for block in blocks(benchmark, block_bytes):
-        out = one(block) if out is None else out.unionByName(one(block))
-    return spark.createDataFrame([], SCHEMA) if out is None else out
+    parts = list(_in_blocks(docs, benchmark, block_bytes, "contaminated", one))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents that hold no item, with all their columns; one narrow pass for each block of items."""
-
-    def one(docs: DataFrame, block) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    """The documents that hold no item, with all their columns, whatever their names; one narrow pass for each block of items."""
+    left = docs
 
+    def one(shared) -> DataFrame:
         def keep(batches):
+            release()
             items = Items(shared.value)
             for batch in batches:
                 yield batch.filter(pa.array([not items.held_in(t) for t in batch.column("text").to_pylist()], pa.bool_()))
 
-        return docs.mapInArrow(keep, docs.schema)
+        return left.mapInArrow(keep, docs.schema)
 
-    for block in blocks(benchmark, block_bytes):
-        docs = one(docs, block)
-    return docs
+    for kept in _in_blocks(docs, benchmark, block_bytes, "clean", one):
+        left = kept
+    return left

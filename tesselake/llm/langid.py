@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselake.llm.automaton import SuffixAutomaton
 from tesselake.llm.common import TokenTable, held_out, owned, pick, portions
 
 UNDETERMINED = "und"
@@ -35,62 +36,6 @@ WIDEST = 120
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-class SuffixAutomaton:
-    """All substrings of some words, as a deterministic automaton (one dictionary of moves for each state)."""
-
-    def __init__(self, words):
-        self.moves, self.link, self.length = [{}], [-1], [0]
-        for word in words:
-            last = 0
-            for symbol in word:
-                last = self._add(last, symbol)
-
-    def _add(self, last: int, c) -> int:
-        moves, link, length = self.moves, self.link, self.length
-        q = moves[last].get(c)
-        if q is not None and length[q] == length[last] + 1:
-            return q
-        if q is not None:
-            return self._split(last, c, q)
-        new = len(moves)
-        moves.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        p = last
-        while p != -1 and c not in moves[p]:
-            moves[p][c] = new
-            p = link[p]
-        if p != -1:
-            q = moves[p][c]
-            link[new] = q if length[q] == length[p] + 1 else self._split(p, c, q)
-        return new
-
-    def _split(self, p: int, c, q: int) -> int:
-        moves, link, length = self.moves, self.link, self.length
-        clone = len(moves)
-        moves.append(dict(moves[q]))
-        length.append(length[p] + 1)
-        link.append(link[q])
-        link[q] = clone
-        while p != -1 and moves[p].get(c) == q:
-            moves[p][c] = clone
-            p = link[p]
-        return clone
-
-    def phrases(self, word) -> int:
-        """Phrases of the greedy parse; a symbol that the automaton lacks is a phrase of its own."""
-        moves, state, n = self.moves, 0, 0
-        root = moves[0]
-        for symbol in word:
-            to = moves[state].get(symbol)
-            if to is None:
-                n += state != 0
-                to = root.get(symbol, 0)
-                n += to == 0
-            state = to
-        return n + (state != 0)
-
-
 class Parser:
     """An automaton's moves as a table over its WIDEST most frequent letters, so that many words are parsed at once.
 

@@ -28,87 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesselake.llm import grams
+from tesselake.llm.automaton import SuffixAutomaton
 from tesselake.llm.common import gram_hashes, own_name, release
 
 WINDOW = 13
 
 
-class ReferenceAutomaton:
-    """A suffix automaton over words that knows the earliest document of every substring."""
-
-    def __init__(self, passages):
-        """passages: (word ids, document id) pairs."""
-        self.moves, self.link, self.length, self.first = [{}], [-1], [0], [1 << 63]
-        for words, rank in passages:
-            last = 0
-            for w in words:
-                last = self._add(last, w, rank)
-        first, link = self.first, self.link
-        for state in sorted(range(1, len(link)), key=self.length.__getitem__, reverse=True):
-            if first[state] < first[link[state]]:
-                first[link[state]] = first[state]
-
-    def _add(self, last: int, w: int, rank: int) -> int:
-        moves, link, length = self.moves, self.link, self.length
-        q = moves[last].get(w)
-        if q is not None:
-            if length[q] != length[last] + 1:
-                q = self._split(last, w, q)
-            if rank < self.first[q]:
-                self.first[q] = rank
-            return q
-        new = len(moves)
-        moves.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        self.first.append(rank)
-        p = last
-        while p != -1 and w not in moves[p]:
-            moves[p][w] = new
-            p = link[p]
-        if p != -1:
-            q = moves[p][w]
-            link[new] = q if length[q] == length[p] + 1 else self._split(p, w, q)
-        return new
-
-    def _split(self, p: int, w: int, q: int) -> int:
-        moves, link, length = self.moves, self.link, self.length
-        clone = len(moves)
-        moves.append(dict(moves[q]))
-        length.append(length[p] + 1)
-        link.append(link[q])
-        self.first.append(self.first[q])
-        link[q] = clone
-        while p != -1 and moves[p].get(w) == q:
-            moves[p][w] = clone
-            p = link[p]
-        return clone
-
-    def matches(self, words, window: int, rank: int) -> list[int]:
-        """Places where a window ends that occurs in a document of a smaller rank.
-
-        The matching statistic is held at the window's length, so the state stands for just the window.
-        """
-        moves, link, length, first = self.moves, self.link, self.length, self.first
-        state, n, found = 0, 0, []
-        for i, w in enumerate(words):
-            to = moves[state].get(w)
-            while to is None and state:
-                state = link[state]
-                n = length[state]
-                to = moves[state].get(w)
-            if to is None:
-                continue
-            state, n = to, n + 1
-            while length[link[state]] >= window:
-                state = link[state]
-            if n > window:
-                n = window
-            if n == window and first[state] < rank:
-                found.append(i)
-        return found
-
-
 def _owners(window_buckets: pa.Table) -> pa.Table:
     """Tells the first bucket of each shared window which others repeat it."""
     release()
@@ -188,7 +113,7 @@ def removed_words(bucket: grams.Bucket, passages: list[list[bytes]], owners: lis
     maybe[bucket.order] = np.repeat(known | inside, np.diff(np.append(bucket.firsts, len(bucket.order))))
     if not maybe.any():
         return gone
-    automaton = ReferenceAutomaton([*((s.tolist(), owner) for s, owner in zip(sent, owners, strict=True)), *references])
+    automaton = SuffixAutomaton([*(s.tolist() for s in sent), *(words for words, _ in references)], [*owners, *(rank for _, rank in references)])
     for i, j in _runs(bucket.places[maybe]):
         doc = int(np.searchsorted(bucket.starts, i, side="right") - 1)
         ends = automaton.matches(bucket.words[i : j + window].tolist(), window, int(rank_of[doc]))
