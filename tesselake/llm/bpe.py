@@ -33,6 +33,7 @@ class Vocabulary:
         self.root = root
         self._stable: dict = {}
         self._own: dict = {}
+        self._whole: dict = {}
 
     def merge(self, text) -> list:
         """Pieces of a short text by repeated merges: the definition the transducer is compiled from."""
@@ -49,8 +50,8 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _spines(self, n: int) -> tuple[list, list, bool]:
-        """How the first and the last part of a piece's own text grow: (part, priority of the merge that made it) lists, and whether the piece comes out."""
+    def _spines(self, n: int) -> tuple[list, list]:
+        """How the first and the last part of a piece's own text grow: (part, priority of the merge that made it) lists."""
         found = self._own.get(n)
         if found is None:
             piece = self.names[n]
@@ -70,12 +71,17 @@ class Vocabulary:
                     first.append((parts[0], best))
                 if at == len(parts) - 1:
                     last.append((parts[-1], best))
-            found = self._own[n] = (first, last, len(parts) == 1)
+            if len(self._own) > CACHED // 4:
+                self._own.clear()
+            found = self._own[n] = (first, last)
+            self._whole[n] = len(parts) == 1
         return found
 
     def own(self, n: int) -> bool:
         """Whether merging a piece's own text yields that piece (else no text ever does)."""
-        return self._spines(n)[2]
+        if n not in self._whole:
+            self._spines(n)
+        return self._whole[n]
 
     def stable(self, a: int, b: int) -> bool:
         """Whether merging the text of two pieces leaves just these two.

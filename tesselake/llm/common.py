@@ -9,6 +9,8 @@ import math
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -71,6 +73,13 @@ class Shelf:
         self.drop(*(df for df, _ in self.tables if not any(df is x for x in kept)))
 
 
+def make_room(spark: SparkSession) -> None:
+    """Asks the executors' JVMs to collect their garbage: after a full collection a heap that earlier steps have filled shrinks
+    to what is in use, and the Python workers of the next step have the room."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def own_name(df: DataFrame, name: str) -> str:
     """A name for a working column that no column of df has."""
     while name.lower() in {c.lower() for c in df.columns}:
@@ -91,12 +100,13 @@ def owned(key, make):
 
 
 def release() -> None:
-    """Drops what the worker keeps, and gives the memory back to the system where its library can."""
-    if _OWNED:
-        _OWNED.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+    """Drops what the worker keeps, and gives free memory back to the system where the libraries can: a worker that has
+    done with one stage else holds the most that it ever needed."""
+    _OWNED.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def held_out(doc_id="doc_id"):
@@ -195,17 +205,17 @@ class TokenTable(dict):
         return self.rows[np.concatenate(parts)], np.asarray(starts, np.int64)
 
 
-def portions(texts: list, most: int = 1 << 22):
-    """Runs of texts of at most so many characters (or one text), as (first, one after the last)."""
-    first, size = 0, 0
-    for k, text in enumerate(texts):
-        n = len(text) if text else 0
-        if k > first and size + n > most:
-            yield first, k
-            first, size = k, 0
-        size += n
-    if first < len(texts):
-        yield first, len(texts)
+def slices(batches, column: str = "text", most: int = 1 << 22):
+    """The batches in pieces of at most so many bytes of text (or one row), so that what is made of a batch at once is bounded too."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        first, used = 0, 0
+        for k, n in enumerate(sizes):
+            if k > first and used + n > most:
+                yield batch.slice(first, k - first)
+                first, used = k, 0
+            used += n
+        yield batch.slice(first)
 
 
 def gram_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselake.llm.common import Shelf, gram_hashes, release
+from tesselake.llm.common import Shelf, gram_hashes, make_room, release, slices
 
 #: Words of the shortest tile, share of an item's words under tiles, and UTF-8 bytes of items broadcast at once.
 LEAST, COVERAGE, BLOCK_BYTES = 5, 0.6, 4 << 20
@@ -164,6 +164,7 @@ SCHEMA = "doc_id long, item_id long, coverage double, words long, tiles long"
 
 def _in_blocks(start: DataFrame, benchmark: DataFrame, block_bytes: int, name: str, step):
     """step(block) for each block of items. Where there are several, each is broadcast alone: its result is stored before the next."""
+    make_room(start.sparkSession)
     shelf, before = None, None
     for block in blocks(benchmark, block_bytes):
         if before is not None:
@@ -192,7 +193,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
         def find(batches):
             release()
             items = Items(shared.value)
-            for batch in batches:
+            for batch in slices(batches):
                 rows = [(d, *x) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for x in items.held_in(t)]
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
@@ -212,7 +213,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
         def keep(batches):
             release()
             items = Items(shared.value)
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array([not items.held_in(t) for t in batch.column("text").to_pylist()], pa.bool_()))
 
         return left.mapInArrow(keep, docs.schema)

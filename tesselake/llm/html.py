@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselake.llm.common import Shelf, release
+from tesselake.llm.common import Shelf, release, slices
 
 #: Share of a host's pages that a valid class is on.
 SUPPORT = 0.5
@@ -259,7 +259,7 @@ def deduce(pages: DataFrame, shelf: Shelf, support: float = SUPPORT) -> DataFram
 
     def counts_of(batches):
         release()
-        for batch in batches:
+        for batch in slices(batches, "html"):
             rows: dict[tuple[str, bytes], tuple[bytes, bytes]] = {}
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 blocks, counts, _ = read(page or "")
@@ -356,7 +356,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def texts_of(batches):
         release()
-        for batch in batches:
+        for batch in slices(batches, "html"):
             known: dict = {}
             texts = []
             for page, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselake.llm.automaton import SuffixAutomaton
-from tesselake.llm.common import TokenTable, held_out, owned, pick, portions
+from tesselake.llm.common import TokenTable, held_out, make_room, owned, pick, slices
 
 UNDETERMINED = "und"
 #: Labelled documents of each language that the automata are fitted on, all of their text.
@@ -110,19 +110,18 @@ class CrossParser:
     def predict(self, texts: list) -> tuple[list[str], list[float]]:
         """The language of each text, and the share of the bits of the best two that the second needs."""
         langs, scores = [], []
-        for first, last in portions(texts):
-            figures, starts = self.table.read(texts[first:last])
-            total = np.concatenate([np.zeros((1, figures.shape[1]), np.int64), np.cumsum(figures, axis=0)])
-            total = total[starts[1:]] - total[starts[:-1]]
-            for letters, bits in zip(total[:, 0].tolist(), total[:, 1:] * self.bits, strict=True):
-                if not letters or not self.langs:
-                    langs.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                best = int(np.argmin(bits))
-                rest = float(np.delete(bits, best).min(initial=np.inf)) if len(bits) > 1 else 0.0
-                langs.append(self.langs[best])
-                scores.append(rest / (rest + float(bits[best])) if rest else 1.0)
+        figures, starts = self.table.read(texts)
+        total = np.concatenate([np.zeros((1, figures.shape[1]), np.int64), np.cumsum(figures, axis=0)])
+        total = total[starts[1:]] - total[starts[:-1]]
+        for letters, bits in zip(total[:, 0].tolist(), total[:, 1:] * self.bits, strict=True):
+            if not letters or not self.langs:
+                langs.append(UNDETERMINED)
+                scores.append(0.0)
+                continue
+            best = int(np.argmin(bits))
+            rest = float(np.delete(bits, best).min(initial=np.inf)) if len(bits) > 1 else 0.0
+            langs.append(self.langs[best])
+            scores.append(rest / (rest + float(bits[best])) if rest else 1.0)
         return langs, scores
 
 
@@ -145,6 +144,7 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _shared(docs: DataFrame, samples: dict[str, list[str]]):
     """Gives each worker its own automata: only the words of the samples (bounded) are sent."""
     key = (CrossParser, hashlib.sha256(repr(sorted(samples.items())).encode("utf-8", "surrogatepass")).hexdigest())
+    make_room(docs.sparkSession)
     words = docs.sparkSession.sparkContext.broadcast(samples)
     return lambda: owned(key, lambda: CrossParser(words.value))
 
@@ -155,7 +155,7 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], id_col: str = "doc_
 
     def predict(batches):
         parser = shared()
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores = parser.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -169,7 +169,7 @@ def identified(docs: DataFrame, samples: dict[str, list[str]], text_col: str = "
 
     def keep(batches):
         parser = shared()
-        for batch in batches:
+        for batch in slices(batches, text_col):
             yield batch.filter(pa.array([x != UNDETERMINED for x in parser.predict(batch.column(text_col).to_pylist())[0]], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

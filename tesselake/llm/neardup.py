@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselake.llm import grams
-from tesselake.llm.common import GOLDEN, Shelf, mix64, own_name, portions, release
+from tesselake.llm.common import GOLDEN, Shelf, make_room, mix64, own_name, release, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 13 bands of 3: a pair at 0.8 shares a band with probability 1 - (1 - 0.8 ** 3) ** 13 = 0.9999.
@@ -180,7 +180,7 @@ def _vectors(n_docs: int):
     def vectors(batches):
         """The weighted shingles of documents, sorted, as two packed arrays."""
         release()
-        for batch in (b.slice(i, j - i) for b in batches for i, j in portions(b.column("text").to_pylist())):
+        for batch in slices(batches):
             bucket = Shingles(pa.Table.from_batches([batch]), SHINGLE, lower=True)
             doc, column, tf = bucket.counted()
             shingles = bucket.values[column]
@@ -268,6 +268,7 @@ def components(links: DataFrame, shelf: Shelf) -> DataFrame:
 def _classes(docs: DataFrame, threshold: float, bucket_bytes: int, shelf: Shelf) -> DataFrame:
     """doc_id and class_id (null where the document is alone) of the ids that have a class or a copy; an id is on one row."""
     some = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    make_room(docs.sparkSession)
     plan = grams.plan(some, bucket_bytes)
     dealt = some.withColumn("b", plan.bucket())
     answers = shelf.put(grams.blobs(dealt, SHINGLE, plan.groups, lower=True, counts=True, bucket=Shingles).groupBy("r").applyInArrow(_answer, "b int, r int, df binary"), "df")

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from tesselake.llm import grams
 from tesselake.llm.automaton import SuffixAutomaton
-from tesselake.llm.common import gram_hashes, own_name, release
+from tesselake.llm.common import gram_hashes, make_room, own_name, release
 
 WINDOW = 13
 
@@ -153,6 +153,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = gr
     given = docs.schema
     # working names, so that no column of the user's clashes with one of the steps'
     some = docs.toDF(*(c if c in ("doc_id", "text") else f"user{k}" for k, c in enumerate(docs.columns)))
+    make_room(docs.sparkSession)
     plan = grams.plan(some, bucket_bytes)
     dealt = some.withColumn("b", plan.bucket())
     texts = dealt.select("doc_id", "text", "b")

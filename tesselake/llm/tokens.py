@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselake.llm.bpe import Transducer, piece_vocabulary, rank_vocabulary
-from tesselake.llm.common import owned
+from tesselake.llm.common import make_room, owned, slices
 
 #: Segments whose result a worker keeps at once.
 MEMO = 60_000
@@ -109,12 +109,13 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
 
     def count(batches):
         counter = owned((PieceCounter, model), lambda: PieceCounter(model))
-        for batch in batches:
+        for batch in slices(batches):
             texts = _texts(batch)
             n = np.fromiter(map(counter.count, texts), np.int64, len(texts))
             size = np.fromiter((len(t.encode("utf-8", "surrogatepass")) for t in texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    make_room(docs.sparkSession)
     some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return some.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
@@ -229,7 +230,7 @@ def byte_bpe(docs: DataFrame, ranks: str, pattern: str, ids: bool = False, id_co
 
     def code(batches):
         codec = owned((ByteCodec, ranks, pattern), lambda: ByteCodec(ranks, pattern))
-        for batch in batches:
+        for batch in slices(batches):
             columns: list[list] = [[] for _ in range(5)]
             for text in _texts(batch):
                 coded = codec.encode(text)
@@ -242,5 +243,6 @@ def byte_bpe(docs: DataFrame, ranks: str, pattern: str, ids: bool = False, id_co
             names = ["n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "ids"][: len(arrays)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *names])
 
+    make_room(docs.sparkSession)
     some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return some.mapInArrow(code, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * ids)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselake.llm.common import GOLDEN, TokenTable, held_out, mix64, owned, pick, portions
+from tesselake.llm.common import GOLDEN, TokenTable, held_out, mix64, owned, pick, slices
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 8, 3, 5
 #: Labelled documents of each class that the model is fitted on, all of their text.
@@ -109,14 +109,13 @@ class Scorer:
     def logits(self, texts: list) -> np.ndarray:
         """Logit of each text's most toxic window; nan where a text has no word."""
         out = np.full(len(texts), np.nan)
-        for first, last in portions(texts):
-            figures, starts = self.table.read(texts[first:last])
-            full = figures[:, 1] > 0
-            at = np.concatenate([[0], np.cumsum(full)])[starts]
-            figures = figures[full]
-            for k in range(last - first):
-                if at[k] < at[k + 1]:
-                    out[first + k] = best_window(figures[at[k] : at[k + 1]], self.model.bias)[0]
+        figures, starts = self.table.read(texts)
+        full = figures[:, 1] > 0
+        at = np.concatenate([[0], np.cumsum(full)])[starts]
+        figures = figures[full]
+        for k in range(len(texts)):
+            if at[k] < at[k + 1]:
+                out[k] = best_window(figures[at[k] : at[k + 1]], self.model.bias)[0]
         return out
 
     def scores(self, texts: list) -> np.ndarray:
@@ -225,7 +224,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, threshold: float = THRE
 
     def score(batches):
         scorer = owned((Scorer, key), lambda: Scorer(shared.value))
-        for batch in batches:
+        for batch in slices(batches):
             found = scorer.scores(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
