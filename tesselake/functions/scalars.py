@@ -135,5 +135,5 @@ def plural(n: Column) -> Column:
 
 def option_integer(text: Column, low: int, high: int) -> Column:
     """A whole-text integer option within bounds, else null."""
-    value = F.when(text.rlike(rf"^{_SKIP}[+-]?[0-9]{{1,18}}\z"), F.trim(text)).try_cast("bigint")
+    value = F.when(text.rlike(rf"^{_SKIP}[+-]?0*[0-9]{{1,18}}\z"), F.trim(text)).try_cast("bigint")
     return F.when(value.between(low, high), value)

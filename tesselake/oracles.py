@@ -194,8 +194,11 @@ _SQL = {
       b as (select file_id, o // 4096 * 4096 as a, (o + s + 4095) // 4096 * 4096 as z from e), g as (select file_id, z, unnest(range(a, z, 1048576)) as pos from b)
       select file_id, pos, least(1048576, z - pos) as length from g""",
     "target_count": f"with {_TARGET} select file_id, cast(initial as int) as initial, cast(target as int) as target from t where error = 0",
-    "goal_read": """with g as (select file_id, case when file_id % 7 = 0 then '' when file_id % 7 = 1 then 'x' when file_id % 7 < 5 then cast(file_id % 20 as varchar) end as x from v_files)
-      select file_id, cast(case when try_cast(x as int) between 1 and 16 then x::int else 0 end as int) as goal, case when x is null and file_id % 11 = 0 then 22 when x is not null and not coalesce(try_cast(x as int) between 1 and 16, false) then 22 else 0 end as errno from g""",
+    "goal_read": """with g as (select file_id, file_id % 3 <> 0 as privileged, case file_id % 7 when 0 then '' when 1 then 'x' when 2 then repeat('0', 30) || (file_id % 20) when 3 then cast(file_id % 20 as varchar) when 4 then cast(file_id % 20 as varchar) end as t,
+        case when file_id % 11 in (0, 1, 2) then cast(file_id % 18 as varchar) when file_id % 11 = 3 then '' end as u from v_files),
+      r as (select *, if(privileged, t, u) as x from g), s as (select *, case when length(x) < 32 and x <> '' and regexp_full_match(x, '[0-9]+') then cast(x as int) end as n from r)
+      select file_id, privileged, cast(case when n between 1 and 16 then n else 0 end as int) as goal,
+        case when x is null and privileged and u is not null then 22 when x is null then 0 when length(x) > 31 then 34 when n between 1 and 16 then 0 else 22 end as errno from s""",
     "done": f"with {_TARGET} select file_id, cast(target as int) as target, done, done and coalesce(recorded_goal, 0) > 0 as clears_goal from d",
     "dry_run": f"""with {_TARGET}, u as (select (select count(*) from v_osts) - (select count(*) from v_banned) as n)
       select file_id, usable = 0 or mirrors < target as needs_new_mirror, case when done then 'already in the requested state' else printf('would migrate: %d of %d mirrors on banned OSTs, %d usable, target mirror count %d', banned, mirrors, usable, target)

@@ -13,11 +13,19 @@ from tesselake.functions import scalars
 from tesselake.operators import lookups
 
 
-def read_goal(text: Column, legacy_present: Column | None = None) -> tuple[Column, Column]:
-    """(goal, errno) of a recorded goal: absent is 0; empty, no number or out of 1 to 16 is EINVAL; so is a legacy record alone."""
-    value = scalars.option_integer(text, 1, S.MAX_MIRRORS)
-    legacy = F.lit(False) if legacy_present is None else legacy_present
-    errno = F.when(text.isNull() & legacy, S.EINVAL).when(text.isNotNull() & value.isNull(), S.EINVAL).otherwise(0)
+def read_goal(trusted: Column, user: Column | None = None, privileged: Column | None = None) -> tuple[Column, Column]:
+    """(goal, errno) of the goal recorded on a file, from the text of either attribute (null: absent).
+
+    A privileged run reads the trusted one alone; others read only the one that a file's owner can change. Absent is 0;
+    empty, no number or out of 1 to 16 is EINVAL, and so is an owner's record without a trusted one in a privileged run.
+    A value longer than the buffer it is read into can't be read (ERANGE).
+    """
+    user = F.lit(None).cast("string") if user is None else user
+    privileged = F.lit(True) if privileged is None else privileged
+    text = F.when(privileged, trusted).otherwise(user)
+    long = F.octet_length(text) > S.GOAL_BYTES
+    value = F.when(~long, scalars.option_integer(text, 1, S.MAX_MIRRORS))
+    errno = F.when(text.isNull(), F.when(privileged & user.isNotNull(), S.EINVAL).otherwise(0)).when(long, S.ERANGE).when(value.isNull(), S.EINVAL).otherwise(0)
     return F.coalesce(value, F.lit(0)).cast("int"), errno.cast("int")
 
 

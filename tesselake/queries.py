@@ -175,10 +175,12 @@ def target_count(t):
 
 
 def goal_read(t):
-    text = F.when(F.col("file_id") % 7 == 0, F.lit("")).when(F.col("file_id") % 7 == 1, F.lit("x")).when(F.col("file_id") % 7 < 5, (F.col("file_id") % 20).cast("string"))
-    f = t.files.select("file_id", text.alias("goal_text"), (F.col("file_id") % 11 == 0).alias("legacy"))
-    goal, errno = decide.read_goal(F.col("goal_text"), F.col("legacy"))
-    return f.select("file_id", goal.alias("goal"), errno.alias("errno"))
+    k, n = F.col("file_id") % 7, F.col("file_id") % 20
+    trusted = F.when(k == 0, "").when(k == 1, "x").when(k == 2, F.concat(F.repeat(F.lit("0"), 30), n.cast("string"))).when(k < 5, n.cast("string"))
+    user = F.when(F.col("file_id") % 11 < 3, (F.col("file_id") % 18).cast("string")).when(F.col("file_id") % 11 == 3, "")
+    f = t.files.select("file_id", trusted.alias("trusted_goal"), user.alias("user_goal"), (F.col("file_id") % 3 > 0).alias("privileged"))
+    goal, errno = decide.read_goal(F.col("trusted_goal"), F.col("user_goal"), F.col("privileged"))
+    return f.select("file_id", "privileged", goal.alias("goal"), errno.alias("errno"))
 
 
 def done(t):

@@ -13,11 +13,11 @@ PATTERN_RAID0, PATTERN_MDT = 0, 2
 EOF = 2**63 - 1
 MAX_MIRRORS, MAX_OSTS, MAX_OST_INDEX, NAME_MAX, POOL_NAME_MAX = 16, 4096, 65535, 255, 15
 MAX_ROUNDS, MAX_STRIPES, MAX_ATTEMPTS = 32, 2000, 100_000
-PAGE, COPY_BUFFER, LARGEST_BUFFER, MESSAGE_BYTES, TARGET_TEXT = 4096, 4 << 20, 64 << 20, 1023, 96
+PAGE, COPY_BUFFER, LARGEST_BUFFER, MESSAGE_BYTES, TARGET_TEXT, GOAL_BYTES = 4096, 4 << 20, 64 << 20, 1023, 96, 31
 RESULT_SCHEMA, PROGRAM, PROGRAM_VERSION = 2, "tesselake", "1.0"
 
 # Error numbers.
-EINTR, EIO, EAGAIN, EBUSY, ENODEV, EINVAL, E2BIG, ENOSPC, ENOLCK, ENOTSUP, ETIMEDOUT, ESTALE = 4, 5, 11, 16, 19, 22, 7, 28, 37, 95, 110, 116
+EINTR, EIO, EAGAIN, EBUSY, ENODEV, EINVAL, E2BIG, ENOSPC, ERANGE, ENOLCK, ENOTSUP, ETIMEDOUT, ESTALE = 4, 5, 11, 16, 19, 22, 7, 28, 34, 37, 95, 110, 116
 S_IFMT, S_IFREG = 0o170000, 0o100000
 TRANSIENT = (EAGAIN, EBUSY, ESTALE, EINTR, ENOLCK, ETIMEDOUT)
 

@@ -54,6 +54,11 @@ def test_goals(spark):
     rows = ["3", "", "x", "17", "0", None, "16"]
     assert values(spark, rows, goal) == [3, 0, 0, 0, 0, 0, 16]
     assert values(spark, rows, errno) == [0, 22, 22, 22, 22, 0, 0]
+    # An owner's record is never a privileged run's goal, and the trusted one isn't read without privileges.
+    goal, errno = decide.read_goal(F.lit(None).cast("string"), F.col("x"), F.lit(True))
+    assert values(spark, ["3", "", None], goal) == [0, 0, 0] and values(spark, ["3", "", None], errno) == [22, 22, 0]
+    goal, errno = decide.read_goal(F.lit("5"), F.col("x"), F.lit(False))
+    assert values(spark, ["3", None, "0" * 31 + "4"], goal) == [3, 0, 0] and values(spark, ["3", None, "0" * 31 + "4"], errno) == [0, 0, 34]
 
 
 def test_chunks_cover_extents(spark):
