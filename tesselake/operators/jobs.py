@@ -65,22 +65,27 @@ def tree_diff(source: DataFrame, target: DataFrame, attributes: list[str]) -> Da
 
 
 def restore_order(entries: DataFrame, ranges: int = 200) -> DataFrame:
-    """path, place: files first, then directories from the deepest up, the root of the tree last.
+    """path, is_dir, place: files first, then directories from the deepest up, the root of the tree last; null paths end their kind.
 
     Entries are sorted in ranges of paths within a level, so no task sorts a whole level. The ranges are cut by a
     sample of about 20 paths for each; a window over the few ranges says at which place each starts.
+    The range is found by bisection in plain columns: with a lambda over the path, Spark 4.1 can carry the range's
+    definition through the join to the side that has no path (for some ids of the columns) and then fails.
     """
     depth = F.size(F.split("path", "/")) - 1
-    e = entries.withColumn("level", F.when(F.col("is_dir"), -depth).otherwise(F.lit(-(1 << 30))))
-    n = entries.count()
-    sample = entries.where(F.pmod(F.xxhash64("path"), F.lit(max(1, n))) < 20 * ranges).select("path").distinct().orderBy("path").limit(40 * ranges)
-    paths = [r["path"] for r in sample.collect()]
+    sample = entries.where("path is not null").select("path").orderBy(F.rand(1)).limit(20 * ranges)
+    paths = sorted({r["path"] for r in sample.collect()})
     cuts = paths[:: max(1, len(paths) // ranges)]
-    e = e.withColumn("range", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<string>"), lambda x: x <= F.col("path"))))
+    known = F.array(*map(F.lit, cuts)).cast("array<string>")
+    e = entries.withColumn("level", F.when(F.col("is_dir"), F.coalesce(-depth, F.lit(1))).otherwise(F.lit(-(1 << 30)))).withColumn("range", F.lit(0))
+    for step in (1 << k for k in reversed(range(len(cuts).bit_length()))):
+        e = e.withColumn("range", F.col("range") + F.when(F.get(known, F.col("range") + (step - 1)) <= F.col("path"), step).otherwise(0))
+    e = e.withColumn("range", F.when(F.col("path").isNull(), len(cuts) + 1).otherwise(F.col("range")))
     sizes = e.groupBy("level", "range").agg(F.count(F.lit(1)).alias("n"))
     starts = sizes.select("level", "range", F.coalesce(F.sum("n").over(Window.orderBy("level", "range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    at = F.row_number().over(Window.partitionBy("level", "range").orderBy("path"))
-    return e.withColumn("nth", at).join(F.broadcast(starts), ["level", "range"]).select("path", "is_dir", (F.col("before") + F.col("nth")).cast("long").alias("place"))
+    at = F.row_number().over(Window.partitionBy("level", "range").orderBy(F.asc_nulls_last("path")))
+    # no broadcast hint: the window has both sides' keys in place, and a broadcast would have to wait for a pass over all entries
+    return e.withColumn("nth", at).join(starts, ["level", "range"]).select("path", "is_dir", (F.col("before") + F.col("nth")).cast("long").alias("place"))
 
 
 def rollback_candidates(journal: DataFrame, files: DataFrame) -> DataFrame:

@@ -353,9 +353,9 @@ def tree_diff(t):
 
 def restore_order(t):
     files = t.files.select("path", F.lit(False).alias("is_dir"))
-    one = t.files.select(F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct()
-    two = one.select(F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct()
-    dirs = one.unionByName(two).unionByName(two.select(F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct()).select("path", F.lit(True).alias("is_dir"))
+    parent = lambda path: F.regexp_replace(path, "/[^/]*$", "")
+    one = t.files.select(parent("path").alias("path")).distinct()
+    dirs = one.select(F.posexplode(F.array("path", parent("path"), parent(parent("path")))).alias("up", "path")).distinct().select("path", F.lit(True).alias("is_dir"))
     return jobs.restore_order(files.unionByName(dirs))
 
 

@@ -116,6 +116,15 @@ def test_restore_order_in_ranges(spark):
     assert jobs.restore_order(entries.limit(0)).count() == 0
 
 
+def test_restore_order_of_odd_paths(spark):
+    files = ["/r/a", "/r/a", "/r/é", "/r/\uffee", "/r/\U0001f600", None, None, "", "/r/" + "d/" * 300 + "f"]
+    entries = spark.createDataFrame([(p, False) for p in files] + [("/r", True), (None, True), ("/r/d", True), ("", True), ("/r/d/d", True)], "path string, is_dir boolean")
+    for ranges in (1, 3, 200):
+        rows = jobs.restore_order(entries, ranges=ranges).orderBy("place").collect()
+        assert [r["place"] for r in rows] == list(range(1, 15))
+        assert [(r["path"], r["is_dir"]) for r in rows] == [(p, False) for p in [*sorted(x for x in files if x is not None), None, None]] + [(p, True) for p in ("/r/d/d", "/r/d", "/r", "", None)]
+
+
 def test_target_text_has_fixed_room(spark):
     found = values(spark, [[65535] * 40, [1, 2], []], scalars.target_text(F.col("x")), "x array<int>")
     assert found == [",".join(["65535"] * 15), "1,2", ""]
